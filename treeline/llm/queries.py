@@ -125,8 +125,8 @@ f AS (
   SELECT row_number() OVER () AS rid, doc_id, size, rank, source_size, weight, target,
     sum(size) OVER (PARTITION BY rank ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM h JOIN s ON h.source IS NOT DISTINCT FROM s.source),
-items AS (SELECT rid, size, rank, upto / weight + p * (source_size / weight) AS at FROM f, (SELECT unnest([0, 1]) AS p) WHERE size > 0),
-sent AS (SELECT rid, size, sum(size) OVER (ORDER BY at, rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM items),
+items AS (SELECT rid, size, rank, upto / weight + p * (source_size / weight) AS fin FROM f, (SELECT unnest([0, 1]) AS p) WHERE size > 0),
+sent AS (SELECT rid, size, sum(size) OVER (ORDER BY fin, rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM items),
 taken AS (SELECT rid, sum(size) AS taken FROM sent WHERE total <= 1.5 * (SELECT sum(size) FROM d) GROUP BY rid)
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM f LEFT JOIN taken USING (rid)
 """
