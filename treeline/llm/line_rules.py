@@ -1,16 +1,16 @@
 """Quality rules from cross-document line frequency, in DataFrame operations only.
 
-Every line is normalised (lower case, blanks squeezed) and hashed to 64 bits. A line that more than max_docs distinct
-documents of one host carry is boilerplate of that host and is removed; a document that keeps less than min_left of its words
+Every line is normalised (lower case, blanks squeezed) and hashed with its host to 64 bits. A line that more than max_docs
+documents of one host carry, each counted once, is boilerplate of that host and is removed; a document that keeps less than min_left of its words
 is depleted and rejected. A base rule on words and repetition comes first.
 
-Scale: lines leave the scan as (document, host, hash, words), are pre-aggregated before each shuffle, and the join with the
-frequent lines is salted by document, so a line that a third of all documents carry is spread over SALTS tasks and more. Texts
-are shuffled only if the cleaned text is asked for. Two lines of one host are confused only if their 64-bit hashes are equal.
+Scale: counting shuffles one hash for each line of a document, pre-aggregated. The frequent lines are written down; Spark broadcasts
+that table if it is below the session's threshold, else the join is a shuffle, salted by document, so that a line that a third of all
+documents carry is spread over SALTS tasks. Only lines to be removed go on from there. Texts are shuffled only if the cleaned
+text is asked for. Two lines are confused only if their 64-bit hashes are equal.
 
-Defined results: a null text has no words and fails the base rule; null hosts form one host; rows that repeat an id with the
-same text count as one document and get one verdict; rows with a null id are told apart by their text; lines without words are
-never removed; an empty table gives an empty result; other columns of the input are ignored.
+Defined results: a null text has no words and fails the base rule; null hosts form one host; each row counts
+as a document, and rows that repeat an id and a text get the same verdict; lines without words are never removed; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import WHITE_SPACE, words
+from treeline.llm.common import WHITE_SPACE, durable, n_words, words
 
 SYMBOLS = "#*$%&|<>"
 SALTS = 16
@@ -77,29 +77,23 @@ def line_rules(
 ) -> DataFrame:
     """Per row: id, the base measures, base_failed, n_removed_words, kept; with clean_text also the text without its boilerplate lines."""
     rows = docs.select(F.col(id_col).alias("__id"), F.col(host_col).alias("__host"), F.col(text_col).alias("__text")).withColumn("__key", F.xxhash64("__text"))
-    lines = rows.select("__id", "__host", "__key", F.explode(F.split("__text", "\n")).alias("__line"))
-    lines = lines.withColumn("__n", F.size(words(F.col("__line")))).filter("__n > 0")
-    lines = lines.withColumn("__line", F.xxhash64(normal_line(F.col("__line"))))
-    per_doc = lines.groupBy("__id", "__host", "__key", "__line").agg(F.sum("__n").alias("__n"))
-    document = F.coalesce(F.col("__id").cast("string"), F.concat(F.lit("text "), F.col("__key")))
-    # One row for each document and line is left, so a host's count is exact after one more, pre-aggregated, grouping.
-    counted = per_doc.select("__host", "__line", document.alias("__doc")).distinct().groupBy("__host", "__line").agg(F.count(F.lit(1)).alias("__docs"))
-    frequent = counted.filter(F.col("__docs") > max_docs).select(F.col("__host").alias("__fh"), F.col("__line").alias("__fl"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__fs"))
-    salted = per_doc.withColumn("__salt", F.pmod(F.xxhash64("__id", "__key"), F.lit(SALTS)).cast("int"))
-    found = salted.join(frequent, F.col("__host").eqNullSafe(F.col("__fh")) & (F.col("__line") == F.col("__fl")) & (F.col("__salt") == F.col("__fs")), "left")
-    hit = F.col("__fl").isNotNull()
-    gone = found.groupBy(F.col("__id").alias("__gid"), F.col("__host").alias("__gh"), F.col("__key").alias("__gk")).agg(
-        F.sum("__n").alias("__all"), F.sum(F.when(hit, F.col("__n")).otherwise(0)).alias("__gone"), *([F.collect_set(F.when(hit, F.col("__line"))).alias("__drop")] if clean_text else [])
-    )
+    lines = rows.withColumn("__lines", F.filter(F.split("__text", "\n"), lambda x: F.length(F.translate(x, WHITE_SPACE, "")) > 0))
+    hashed = F.transform("__lines", lambda x: F.xxhash64(F.col("__host"), normal_line(x)))
+    counted = lines.select(F.explode(F.array_distinct(hashed)).alias("__line")).groupBy("__line").count()
+    # Written down, so that its size is known: Spark broadcasts it below the session's threshold and shuffles it beyond.
+    frequent = durable(counted.filter(F.col("count") > max_docs).select(F.col("__line").alias("__fl"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__fs")))
+    each = lines.select("__id", "__host", "__key", F.posexplode("__lines").alias("__at", "__one"))
+    each = each.select("__id", "__key", "__at", F.xxhash64("__host", normal_line(F.col("__one"))).alias("__line"), n_words(F.col("__one")).alias("__n"), F.pmod(F.xxhash64("__id", "__key"), F.lit(SALTS)).cast("int").alias("__salt"))
+    hits = each.join(frequent, (F.col("__line") == F.col("__fl")) & (F.col("__salt") == F.col("__fs"))).select("__id", "__key", "__at", "__line", "__n").distinct()
+    gone = hits.groupBy(F.col("__id").alias("__gid"), F.col("__key").alias("__gk")).agg(F.sum("__n").alias("__gone"), *([F.collect_set("__line").alias("__drop")] if clean_text else []))
     base = base_measures(rows, "__text")
-    out = base.join(gone, F.col("__id").eqNullSafe(F.col("__gid")) & F.col("__host").eqNullSafe(F.col("__gh")) & (F.col("__key") == F.col("__gk")), "left")
+    out = base.join(gone, F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("__key") == F.col("__gk")), "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    # A repeated row doubles both sums, so their ratio is that of one row.
-    removed = F.coalesce(F.floor(F.col("__gone") * F.col("n_words") / F.col("__all")), F.lit(0)).cast("long")
+    removed = F.coalesce("__gone", F.lit(0)).cast("long")
     out = out.withColumn("base_failed", failed).withColumn("n_removed_words", removed)
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= min_left * F.col("n_words")))
     columns = [F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"]
     if clean_text:
-        left = F.filter(F.split("__text", "\n"), lambda x: ~F.coalesce(F.array_contains("__drop", F.xxhash64(normal_line(x))), F.lit(False)) | (F.length(F.translate(x, WHITE_SPACE, "")) == 0))
+        left = F.filter(F.split("__text", "\n"), lambda x: ~F.coalesce(F.array_contains("__drop", F.xxhash64(F.col("__host"), normal_line(x))), F.lit(False)) | (F.length(F.translate(x, WHITE_SPACE, "")) == 0))
         columns.append(F.concat_ws("\n", left).alias(text_col))
     return out.select(*columns)
