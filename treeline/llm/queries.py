@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from treeline.llm.common import table
 from treeline.llm.line_rules import line_rules
 from treeline.llm.mixing import mix_sources
+from treeline.llm.sentence_spans import dedup_substrings
 from treeline.llm.shard_tree import shard_documents
+from treeline.llm.simhash_bk import near_duplicates
 from treeline.llm.topk import exact_top_k
 
 
@@ -23,6 +25,15 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_substrings(docs).select("doc_id", "n_sentences", "n_removed", "text")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix_sources(docs.select("doc_id", "source", "text"), keep=()).select("doc_id", "size", "source_size", "target", "taken")
@@ -34,7 +45,7 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op2_quality_rules, op4_sharding, op8_mixing, op9_exact_topk)}
+    found = {f.__name__: f for f in (op2_quality_rules, op4_sharding, op5_simhash_near_dedup, op7_substring_dedup, op8_mixing, op9_exact_topk)}
     return found
 
 
