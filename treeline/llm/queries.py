@@ -8,18 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm.common import table
+from treeline.llm.license_align import scan_licenses
 from treeline.llm.line_rules import line_rules
 from treeline.llm.mixing import mix_sources
+from treeline.llm.quality_net import quality_scores
 from treeline.llm.sentence_spans import dedup_substrings
-from treeline.llm.shard_tree import shard_documents
+from treeline.llm.sentencepiece_wfst import encode_documents
+from treeline.llm.shard_tree import DRAW_DIGITS, EXTRA, grown, shard_documents, tree
 from treeline.llm.simhash_bk import near_duplicates
 from treeline.llm.topk import exact_top_k
+from treeline.llm.toxic_lexicon import toxicity_scores
+
+
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return shard_documents(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -29,6 +41,11 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_documents(docs).select("doc_id", "n_tokens", "ids", "round_trip")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_substrings(docs).select("doc_id", "n_sentences", "n_removed", "text")
@@ -44,9 +61,24 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op2_quality_rules, op4_sharding, op5_simhash_near_dedup, op7_substring_dedup, op8_mixing, op9_exact_topk)}
-    return found
+    own = (
+        op1_license_scans,
+        op2_quality_rules,
+        op3_quality_classifier,
+        op4_sharding,
+        op5_simhash_near_dedup,
+        op6_sentencepiece,
+        op7_substring_dedup,
+        op8_mixing,
+        op9_exact_topk,
+        op10_toxicity,
+    )
+    return {f.__name__: f for f in own}
 
 
 OP2 = r"""
@@ -56,7 +88,7 @@ l AS (
   SELECT rid, doc_id, source, ln, lower(trim(regexp_replace(ln, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm, len(regexp_extract_all(ln, '[^\x20\x09-\x0D]+')) AS n
   FROM (SELECT rid, doc_id, source, unnest(string_split(t, chr(10))) AS ln FROM d)),
 lw AS (SELECT * FROM l WHERE n > 0),
-freq AS (SELECT source, norm FROM lw GROUP BY source, norm HAVING count(DISTINCT doc_id) > 50),
+freq AS (SELECT source, norm FROM lw GROUP BY source, norm HAVING count(DISTINCT rid) > 50),
 gone AS (SELECT lw.rid, sum(lw.n) AS g FROM lw JOIN freq f ON lw.norm = f.norm AND lw.source IS NOT DISTINCT FROM f.source GROUP BY lw.rid),
 dup AS (SELECT rid, count(*) - count(DISTINCT ln) AS n_dup FROM lw GROUP BY rid),
 win AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
@@ -77,7 +109,6 @@ FROM b
 
 def _place_sql(root, column: str) -> str:
     """Nested CASE over the draws of each level, written out from the tree."""
-    from treeline.llm.shard_tree import DRAW_DIGITS
 
     def draw(node) -> str:
         return f"(ln((CAST('0x' || substr(md5(k || '/{node.name}'), 1, {DRAW_DIGITS}) AS BIGINT) + 1) / {float(16**DRAW_DIGITS)!r}) / {float(node.weight)!r})"
@@ -92,8 +123,6 @@ def _place_sql(root, column: str) -> str:
 
 
 def op4_sql() -> str:
-    from treeline.llm.shard_tree import EXTRA, grown, tree
-
     return f"""
 WITH d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, coalesce(text, '') AS t FROM documents),
 crc AS (SELECT i, {_crc_steps()} AS c FROM range(256) r(i)),

@@ -70,7 +70,7 @@ def signed(x: int) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = pa.array([signed(fingerprint(t.as_py())) for t in b.column(1)], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), fp], names=["id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), fp], names=["id", "key", "fp"])
 
 
 class Tree:
@@ -215,16 +215,33 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, fingerprint (16 hex digits), component_id (the smallest id of its component)."""
+def _rooted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, key, fp) of every row, and (fp, least, root) of every fingerprint: the least id with it and its component's root."""
     ids = docs.schema[id_col].dataType.simpleString()
-    prints = durable(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, f"id {ids}, fp long"))
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
+    prints = durable(read.mapInArrow(_fingerprints, f"id {ids}, key long, fp long"))
     classes = durable(prints.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(classes.select("fp"), classes.count()))
     # A fingerprint without links is its own root.
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = roots.join(classes, roots.node == classes.fp).select("root", "least").union(roots.join(classes, roots.root == classes.fp).select("root", "least"))
-    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(named.withColumnRenamed("root", "r"), F.col("root") == F.col("r"), "left").select(F.col("fp").alias("f"), F.coalesce("component_id", "least").alias("component_id"))
+    return prints, classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, fingerprint (16 hex digits), component_id (the smallest id of its component)."""
+    prints, rooted = _rooted(docs, id_col, text_col)
+    rooted = durable(rooted)
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("r"), "component_id")
+    of = rooted.join(named, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
+    # Both sides are read from files, so that each is shuffled for this join and a fingerprint with very many rows can be split.
     out = prints.join(durable(of), F.col("fp") == F.col("f"))
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with one row of each component: the one with the smallest id (null ids last), of equal ids the least hash."""
+    prints, rooted = _rooted(docs, id_col, text_col)
+    of = durable(rooted.select(F.col("fp").alias("f"), "root"))
+    first = prints.join(of, F.col("fp") == F.col("f")).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("x"))
+    keys = first.select(F.col("x.key").alias("__kept"))
+    rows = docs.withColumn("__key", F.xxhash64(id_col, text_col))
+    return rows.join(keys, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"]).drop("__key")
