@@ -146,7 +146,7 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shard, values, out = None, [], []
 
     def drained() -> Iterator[pa.RecordBatch]:
-        pairs = [(signed(max(a, b)), signed(min(a, b))) if signed(a) > signed(b) else (signed(b), signed(a)) for a, b in out]
+        pairs = [sorted((signed(a), signed(b)), reverse=True) for a, b in out]
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
     for b in batches:
