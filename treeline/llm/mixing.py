@@ -26,7 +26,7 @@ from treeline.llm.common import durable, n_words, pieces_for
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 PASSES = 2
-PIECE = 4_000
+PIECE = 1_000
 BINS = 2_000
 FEW = 50_000
 HASH_DIGITS = 15
