@@ -36,6 +36,9 @@ LONG = 40
 #: Within a run of LONG words, one word in so many ends a sentence.
 CHOSEN = 8
 
+#: Spans and rows that a worker holds before it hands them on.
+BATCH_SPANS, BATCH_ROWS = 20_000, 500
+
 SENTENCE = re.compile(r".*?(?:[.!?]+[\"'”’»)\]]*\s+|\n\s*|\Z)", re.S)
 
 
@@ -99,7 +102,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for c, v in zip(cols, (row, key, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), at, n, h in seen), strict=True):
                     c.append(v)
                 seen.add(h)
-            if len(cols[0]) > 100_000:
+            if len(cols[0]) > BATCH_SPANS:
                 yield _batch(cols, names)
                 cols = [[] for _ in names]
         yield _batch(cols, names)
@@ -121,20 +124,23 @@ def removed(text: str, lost: list[tuple[int, int]]) -> tuple[str, int, int]:
 
 def _cleaner(at: int):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, had, went = [], [], []
-            for t, lost in zip(b.column(at), b.column(b.num_columns - 1), strict=True):
-                t, lost = t.as_py(), lost.as_py()
-                if lost:
-                    t, h, w = removed(t, [(x["at"], x["n"]) for x in lost])
-                else:
-                    h, w = len(sentences(t or "")), 0
-                texts.append(t)
-                had.append(h)
-                went.append(w)
-            cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
-            names = b.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(had, pa.int32()), pa.array(went, pa.int32())], names=[*names, "n_sentences", "n_removed"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, BATCH_ROWS):
+                yield cleaned(whole.slice(first, BATCH_ROWS))
+
+    def cleaned(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts, had, went = [], [], []
+        for t, lost in zip(b.column(at), b.column(b.num_columns - 1), strict=True):
+            t, lost = t.as_py(), lost.as_py()
+            if lost:
+                t, h, w = removed(t, [(x["at"], x["n"]) for x in lost])
+            else:
+                h, w = len(sentences(t or "")), 0
+            texts.append(t)
+            had.append(h)
+            went.append(w)
+        cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(had, pa.int32()), pa.array(went, pa.int32())], names=[*b.schema.names[:-1], "n_sentences", "n_removed"])
 
     return clean
 
