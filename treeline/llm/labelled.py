@@ -21,4 +21,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col:
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(most)
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    return rows.join(known, F.col("__doc") == F.col("__id")).select(F.col("__doc").alias("id"), "text", "label")
+    # Safe to broadcast: `most` rows of an id and a label at most.
+    return rows.join(F.broadcast(known), F.col("__doc") == F.col("__id")).select(F.col("__doc").alias("id"), "text", "label")

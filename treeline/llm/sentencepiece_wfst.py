@@ -101,7 +101,7 @@ class Transducer:
         if not bpe or not fallback:
             raise ValueError("a BPE model with byte fallback is expected")
         self.bytes_of = out
-        self.longest = max(map(len, self.ids))
+        self.begins = {p[:k] for p in self.ids for k in range(1, len(p))}
         self.inner = any(re.search(f"[^{META}]{META}", p) for p in self.ids)
         self.lines = any("\n" in p for p in self.ids)
         self.cut = re.compile(rf"\n|{META}+[^{META}\n]*|[^{META}\n]+")
@@ -130,15 +130,18 @@ class Transducer:
 
     def path(self, text: str) -> list[str]:
         """The pieces and single characters on the one path of finite weight."""
-        last = [""] * (len(text) + 1)
-        ids, longest = self.ids, self.longest
-        for end in range(1, len(text) + 1):
-            for start in range(max(0, end - longest), end):
+        n = len(text)
+        last = [""] * (n + 1)
+        ids, begins, holds = self.ids, self.begins, self.holds
+        for start in range(n):
+            before = last[start]
+            for end in range(start + 1, n + 1):
                 piece = text[start:end]
-                if (piece in ids or end - start == 1) and (last[start] or not start) and self.holds(last[start], piece):
+                if not last[end] and (piece in ids or end == start + 1) and holds(before, piece):
                     last[end] = piece
+                if piece not in begins:
                     break
-        out, at = [], len(text)
+        out, at = [], n
         while at:
             out.append(last[at])
             at -= len(last[at])

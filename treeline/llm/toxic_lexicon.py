@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeline.llm.common import durable
 from treeline.llm.labelled import held_out, training_rows
 
 #: The most labelled rows that the lexicon is learned from.
@@ -148,7 +149,7 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str, text_col: str, sample: int = SAMPLE) -> Lexicon:
-    known = training_rows(docs, labels, label_col=label_col, id_col=id_col, text_col=text_col, most=sample)
+    known = durable(training_rows(docs, labels, label_col=label_col, id_col=id_col, text_col=text_col, most=sample))
     kind = docs.schema[id_col].dataType.simpleString()
     n = dict(known.groupBy("label").count().collect())
     clean, toxic = n.get(0, 0), n.get(1, 0)
