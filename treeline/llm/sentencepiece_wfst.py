@@ -6,7 +6,7 @@ is of the BPE kind: its encoding is not the path of best summed scores but the r
 neighbours first. Such an encoding is exactly the path in which every two neighbouring pieces would also be left apart if they stood
 alone, because no merge crosses a boundary that holds. So the acceptor gives a pair weight 0 if merging leaves it apart and infinity if
 not; it is expanded lazily and remembered. Composed with an input, one path has finite weight in the tropical semiring, and
-since the same is true of every prefix, the shortest-path search keeps a single state for each position.
+since the same is true of every prefix, the search for it, depth first, enters each position once at most.
 
 Inputs are cut where no piece can reach across (before a meta symbol that follows something else, and around line ends), and
 chunks that have been seen are remembered, up to CACHE chunks for each Python worker.
@@ -34,6 +34,10 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
 CACHE = 300_000
+#: Pairs of neighbours that a worker remembers.
+PAIRS = 500_000
+#: In place of a piece's number: the start of the input, and a character that occurs in no piece.
+START, OTHER = -1, -2
 #: Kinds of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -101,11 +105,17 @@ class Transducer:
         if not bpe or not fallback:
             raise ValueError("a BPE model with byte fallback is expected")
         self.bytes_of = out
-        self.begins = {p[:k] for p in self.ids for k in range(1, len(p))}
+        # A character that occurs in pieces but is none itself can merge, too, and gets a number beyond the pieces.
+        self.symbols = self.pieces + sorted(set("".join(self.ids)) - self.ids.keys())
+        # The lexicon as a trie: 2 x number + 1 if longer pieces go on from here; 1 if only those do. Number 0 is the unknown piece.
+        longer = {p[:k] for p in self.ids for k in range(1, len(p))}
+        numbers = self.ids | {c: i for i, c in enumerate(self.symbols) if i >= len(self.pieces)}
+        self.step = {p: 2 * numbers.get(p, 0) + (p in longer) for p in longer | numbers.keys()}
         self.inner = any(re.search(f"[^{META}]{META}", p) for p in self.ids)
         self.lines = any("\n" in p for p in self.ids)
         self.cut = re.compile(rf"\n|{META}+[^{META}\n]*|[^{META}\n]+")
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.after: dict[int, dict[int, bool]] = {}
+        self.known = 0
         self.memory: dict[str, bytes] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -119,41 +129,70 @@ class Transducer:
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
         return symbols
 
-    def holds(self, a: str, b: str) -> bool:
-        """The acceptor's weight for two neighbours is 0 rather than infinity; with an empty a, for b alone."""
-        known = self.apart.get((a, b))
-        if known is None:
-            if len(self.apart) > CACHE:
-                self.apart.clear()
-            known = self.apart[a, b] = self.merged(list(a + b)) == ([a, b] if a else [b])
+    def holds(self, a: int, b: int) -> bool:
+        """The acceptor's weight for two neighbours is 0 rather than infinity; with a = START, for b alone."""
+        if self.known > PAIRS:
+            self.after.clear()
+            self.known = 0
+        left, right = self.symbols[a] if a != START else "", self.symbols[b]
+        known = self.merged(list(left + right)) == ([left, right] if left else [right])
+        self.after.setdefault(a, {})[b] = known
+        self.known += 1
         return known
 
-    def path(self, text: str) -> list[str]:
-        """The pieces and single characters on the one path of finite weight."""
-        n = len(text)
-        last = [""] * (n + 1)
-        ids, begins, holds = self.ids, self.begins, self.holds
-        for start in range(n):
-            before = last[start]
-            for end in range(start + 1, n + 1):
-                piece = text[start:end]
-                if not last[end] and (piece in ids or end == start + 1) and holds(before, piece):
-                    last[end] = piece
-                if piece not in begins:
+    def arcs(self, text: str, at: int) -> list[tuple[int, int]]:
+        """(end, number) of the lexicon's arcs from a place, the longest last; a character without any is its own."""
+        out, step, end, n = [], self.step, at + 1, len(text)
+        while end <= n:
+            code = step.get(text[at:end])
+            if code is None:
+                break
+            if code > 1:
+                out.append((end, code >> 1))
+            if not code & 1:
+                break
+            end += 1
+        if not out or out[0][0] != at + 1:
+            out.insert(0, (at + 1, OTHER))
+        return out
+
+    def path(self, text: str) -> list[tuple[int, int]]:
+        """(end, number) of the arcs of the one path of finite weight, found depth first with the longest arcs tried first.
+
+        A place is reached over finite weights in one way only, so that no place is entered twice.
+        """
+        n, at, last = len(text), 0, START
+        taken: list[tuple[int, int]] = []
+        open_ = [self.arcs(text, 0)]
+        after = self.after
+        while at < n:
+            arcs = open_[-1]
+            row = after.get(last)
+            while arcs:
+                end, piece = arcs.pop()
+                fits = None if row is None else row.get(piece)
+                if fits is None:
+                    fits = piece == OTHER or last == OTHER or self.holds(last, piece)
+                if fits:
+                    taken.append((end, piece))
+                    at, last = end, piece
+                    if at < n:
+                        open_.append(self.arcs(text, at))
                     break
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at -= len(last[at])
-        return out[::-1]
+            else:
+                open_.pop()
+                taken.pop()
+                at, last = taken[-1] if taken else (0, START)
+        return taken
 
     def chunk(self, text: str) -> bytes:
-        out = array("i")
-        for p in self.path(text):
-            if p in self.ids:
-                out.append(self.ids[p])
+        out, start, size = array("i"), 0, len(self.pieces)
+        for end, piece in self.path(text):
+            if piece < size and piece != OTHER:
+                out.append(piece)
             else:
-                out.extend(self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass"))
+                out.extend(self.byte_ids[b] for b in text[start:end].encode("utf-8", "surrogatepass"))
+            start = end
         return out.tobytes()
 
     def encode(self, text: str) -> np.ndarray:
