@@ -9,7 +9,7 @@ not; it is expanded lazily and remembered. Composed with an input, one path has
 since the same is true of every prefix, the search for it, depth first, enters each position once at most.
 
 Inputs are cut where no piece can reach across (before a meta symbol that follows something else, and around line ends), and
-chunks that have been seen are remembered, up to CACHE chunks for each Python worker.
+chunks that have been seen are remembered, up to 2 x CACHE chunks for each Python worker.
 
 Scale: a map over rows without shuffles; each worker holds the compiled model and its bounded memories.
 
@@ -36,8 +36,9 @@ META = "▁"
 CACHE = 300_000
 #: Pairs of neighbours that a worker remembers.
 PAIRS = 500_000
-#: In place of a piece's number: the start of the input, and a character that occurs in no piece.
-START, OTHER = -1, -2
+#: An arc is END x its end + its number. These numbers stand for the start of the input and for a character that occurs in no piece.
+END = 1 << 24
+START, OTHER = END - 1, END - 2
 #: Kinds of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -117,6 +118,7 @@ class Transducer:
         self.after: dict[int, dict[int, bool]] = {}
         self.known = 0
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """The symbols after merging the best-scored neighbours, the leftmost of equals, for as long as a piece results."""
@@ -140,61 +142,74 @@ class Transducer:
         self.known += 1
         return known
 
-    def arcs(self, text: str, at: int) -> list[tuple[int, int]]:
-        """(end, number) of the lexicon's arcs from a place, the longest last; a character without any is its own."""
+    def arcs(self, text: str, at: int) -> list[int]:
+        """The lexicon's arcs from a place, the longest last; a character without any is its own."""
         out, step, end, n = [], self.step, at + 1, len(text)
         while end <= n:
             code = step.get(text[at:end])
             if code is None:
                 break
             if code > 1:
-                out.append((end, code >> 1))
+                out.append(END * end + (code >> 1))
             if not code & 1:
                 break
             end += 1
-        if not out or out[0][0] != at + 1:
-            out.insert(0, (at + 1, OTHER))
+        if not out or out[0] >= END * (at + 2):
+            out.insert(0, END * (at + 1) + OTHER)
         return out
 
-    def path(self, text: str) -> list[tuple[int, int]]:
-        """(end, number) of the arcs of the one path of finite weight, found depth first with the longest arcs tried first.
+    def path(self, text: str) -> list[int]:
+        """The arcs of the one path of finite weight, found depth first with the longest arcs tried first.
 
         A place is reached over finite weights in one way only, so that no place is entered twice.
         """
         n, at, last = len(text), 0, START
-        taken: list[tuple[int, int]] = []
+        taken: list[int] = []
         open_ = [self.arcs(text, 0)]
         after = self.after
         while at < n:
             arcs = open_[-1]
             row = after.get(last)
             while arcs:
-                end, piece = arcs.pop()
+                arc = arcs.pop()
+                piece = arc % END
                 fits = None if row is None else row.get(piece)
                 if fits is None:
                     fits = piece == OTHER or last == OTHER or self.holds(last, piece)
                 if fits:
-                    taken.append((end, piece))
-                    at, last = end, piece
+                    taken.append(arc)
+                    at, last = arc // END, piece
                     if at < n:
                         open_.append(self.arcs(text, at))
                     break
             else:
                 open_.pop()
                 taken.pop()
-                at, last = taken[-1] if taken else (0, START)
+                at, last = divmod(taken[-1], END) if taken else (0, START)
         return taken
 
     def chunk(self, text: str) -> bytes:
         out, start, size = array("i"), 0, len(self.pieces)
-        for end, piece in self.path(text):
-            if piece < size and piece != OTHER:
+        for arc in self.path(text):
+            end, piece = divmod(arc, END)
+            if piece < size:
                 out.append(piece)
             else:
                 out.extend(self.byte_ids[b] for b in text[start:end].encode("utf-8", "surrogatepass"))
             start = end
         return out.tobytes()
 
+    def remembered(self, chunk: str) -> bytes:
+        """A chunk's ids from the older half of the memory, or else found anew."""
+        got = self.older.get(chunk)
+        if got is None:
+            got = self.chunk(chunk)
+        if len(chunk) < 64:
+            if len(self.memory) >= CACHE:
+                self.older, self.memory = self.memory, {}
+            self.memory[chunk] = got
+        return got
+
     def encode(self, text: str) -> np.ndarray:
         if self.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
@@ -203,16 +218,10 @@ class Transducer:
         text = (META if self.prefix else "") + text.replace(" ", META)
         if self.inner or self.lines:
             return np.frombuffer(self.chunk(text), np.int32)
-        memory, out = self.memory, []
+        out = []
         for c in self.cut.findall(text):
-            got = memory.get(c)
-            if got is None:
-                if len(memory) > CACHE:
-                    memory.clear()
-                got = self.chunk(c)
-                if len(c) < 64:
-                    memory[c] = got
-            out.append(got)
+            got = self.memory.get(c)
+            out.append(self.remembered(c) if got is None else got)
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: list[int]) -> str:
