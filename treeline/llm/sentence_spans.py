@@ -167,7 +167,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
     key = F.xxhash64(F.col(text_col))
     rows = rows.withColumn("__key", key).withColumn("__row", F.coalesce(F.col(id_col).cast("long"), F.lit(2**62) + F.shiftrightunsigned("__key", 2)))
-    lost = lost_spans(docs, id_col, text_col)
-    whole = rows.join(lost, (F.col("__row") == F.col("row")) & (F.col("__key") == F.col("key")), "left").select(*[F.col(f"`{c}`") for c in kept], F.col("lost").alias("__lost"))
+    lost = lost_spans(docs, id_col, text_col).select(F.col("row").alias("__lost_row"), F.col("key").alias("__lost_key"), F.col("lost").alias("__lost"))
+    whole = rows.join(lost, (F.col("__row") == F.col("__lost_row")) & (F.col("__key") == F.col("__lost_key")), "left").select(*[F.col(f"`{c}`") for c in kept], "__lost")
     schema = whole.drop("__lost").schema.add("n_sentences", "integer").add("n_removed", "integer")
     return whole.mapInArrow(_cleaner(kept.index(text_col)), schema)
