@@ -105,7 +105,9 @@ class Transducer:
                     raise ValueError("a model with a character map is not supported")
         if not bpe or not fallback:
             raise ValueError("a BPE model with byte fallback is expected")
-        self.bytes_of = out
+        self.joined = np.frombuffer(b"".join(out), np.uint8)
+        self.lengths = np.array([len(x) for x in out], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
         # A character that occurs in pieces but is none itself can merge, too, and gets a number beyond the pieces.
         self.symbols = self.pieces + sorted(set("".join(self.ids)) - self.ids.keys())
         # The lexicon as a trie: 2 x number + 1 if longer pieces go on from here; 1 if only those do. Number 0 is the unknown piece.
@@ -224,9 +226,16 @@ class Transducer:
             out.append(self.remembered(c) if got is None else got)
         return np.frombuffer(b"".join(out), np.int32)
 
-    def decode(self, ids: list[int]) -> str:
-        out = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-        return out[1:] if self.prefix and out[:1] == " " else out
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """The UTF-8 bytes that ids stand for: each id's stretch of the pieces' joined bytes, gathered in one go."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ids) else 0
+        out = self.joined[np.arange(total) + np.repeat(self.starts[ids] - ends + lengths, lengths)].tobytes()
+        return out[1:] if self.prefix and out[:1] == b" " else out
+
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        return self.decoded(np.asarray(ids, np.int64)).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=1)
@@ -251,7 +260,7 @@ def encode_documents(docs: DataFrame, *, text_col: str = "text", model: str = MO
                 for text in b.column(at):
                     text = text.as_py()
                     ids.append(None if text is None else t.encode(text))
-                    ok.append(None if text is None else t.decode(ids[-1].tolist()) == text)
+                    ok.append(None if text is None else t.decoded(ids[-1]) == text.encode("utf-8", "surrogatepass"))
                 sizes = [None if x is None else len(x) for x in ids]
                 offsets = np.cumsum([0, *(n or 0 for n in sizes)], dtype=np.int32)
                 flat = pa.array(np.concatenate([x for x in ids if x is not None] or [np.zeros(0, np.int32)]), pa.int32())
