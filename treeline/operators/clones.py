@@ -40,3 +40,46 @@ def token_similarity(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     a, b = t.select(C("doc_id").alias("left"), C("tokens").alias("x")), t.select(C("doc_id").alias("right"), C("tokens").alias("y"))
     joined = pairs.join(a, "left").join(b, "right")
     return joined.select("left", "right", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("similarity"))
+
+
+def _matching(a: list, b: list) -> int:
+    """Nodes of two trees, as pre-ordered (type, label, size, children), that stand at the same places with the same type and operator."""
+    total, todo = 0, [(0, 0)]
+    while todo:
+        i, j = todo.pop()
+        x, y = a[i], b[j]
+        if x["type"] != y["type"] or (x["type"] == "function_call" and x["n_children"] != y["n_children"]):
+            continue
+        total += x["type"] not in ("binary_op", "unary_op") or x["operator"] == y["operator"]
+        i, j = i + 1, j + 1
+        for _ in range(min(x["n_children"], y["n_children"])):
+            todo.append((i, j))
+            i, j = i + a[i]["size"], j + b[j]["size"]
+    return total
+
+
+def structural_similarity(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(left, right, structural): 1 for equal shapes, else matching nodes over the mean size. Only the given pairs are compared."""
+    rows = F.array_sort(F.collect_list(F.struct("pre", "type", F.coalesce("operator", F.lit("")).alias("operator"), "size", "n_children")))
+    trees = nodes.groupBy("doc_id").agg(rows.alias("rows"), _print(SHAPE).alias("shape"))
+    a = trees.select(F.col("doc_id").alias("left"), F.col("rows").alias("x"), F.col("shape").alias("sx"))
+    b = trees.select(F.col("doc_id").alias("right"), F.col("rows").alias("y"), F.col("shape").alias("sy"))
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            s = [1.0 if p == q else round(2 * _matching(list(x), list(y)) / (len(x) + len(y)), 6) for x, y, p, q in zip(f["x"], f["y"], f["sx"], f["sy"], strict=True)]
+            yield pd.DataFrame({"left": f["left"], "right": f["right"], "structural": s})
+
+    return pairs.join(a, "left").join(b, "right").select("left", "right", "x", "y", "sx", "sy").mapInPandas(run, "left string, right string, structural double")
+
+
+def detect(pairs: DataFrame, nodes: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(left, right, similarity, clone_type): exact, renamed and near-miss clones among the given pairs; null for none."""
+    prints = fingerprints(nodes)
+    both = structural_similarity(pairs, nodes).join(token_similarity(pairs, nodes), ["left", "right"])
+    both = both.join(prints.select(C("doc_id").alias("left"), C("exact").alias("e1"), C("shape").alias("s1")), "left").join(prints.select(C("doc_id").alias("right"), C("exact").alias("e2"), C("shape").alias("s2")), "right")
+    score = F.round(0.6 * C("structural") + 0.4 * C("similarity"), 6)
+    kind = F.when(C("e1") == C("e2"), "type_i").when(C("s1") == C("s2"), "type_ii").when(score >= threshold, "type_iii")
+    return both.select("left", "right", score.alias("similarity"), kind.alias("clone_type"))

@@ -41,7 +41,7 @@ def dead_code(nodes: DataFrame) -> DataFrame:
 
 def unused_variables(nodes: DataFrame) -> DataFrame:
     """(doc_id, variable): names that are assigned or bound as parameters and never read in the document."""
-    target = F.coalesce(C("role").isin("target", "param", "iter"), F.lit(False)) | C("in_meta")
+    target = F.coalesce(C("role").isin("target", "param", "iter", "pattern"), F.lit(False))
     named = nodes.filter(is_a("variable", "param") & C("value").isNotNull())
     g = named.groupBy("doc_id", C("value").alias("variable")).agg(F.max(F.when(target, 1).otherwise(0)).alias("written"), F.max(F.when(~target, 1).otherwise(0)).alias("read"))
     return g.filter((C("written") == 1) & (C("read") == 0)).select("doc_id", "variable")

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline import format as fmt
-from treeline import runner
+from treeline import runner, supplementals
 from treeline.functions import rules as R
 from treeline.functions import semantic
 from treeline.operators import business, clones, documents, graph, metrics
+from treeline.plans import primitives
 from treeline.sources import corpora
 from treeline.sources.trees import read_sources
+from treeline.sources.unparse import round_trip, to_source, translate, valid_source
 
 Query = Callable[[SparkSession, str], DataFrame]
 KNOWN: dict[str, tuple[Query, str | None]] = {}
@@ -191,6 +193,60 @@ KNOWN["python_sources"] = (
 )
 
 
+def parts_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source): a Python program for each part, whose shape follows from the part's size."""
+    size = F.col("p_size")
+    pick = lambda n, *texts: F.element_at(F.array(*[F.lit(t) for t in texts]), size % n + 1)
+    lines = [
+        pick(3, "flag = True if c else False", "flag = False if c else True", "flag = d if c else False"),
+        pick(4, "if a:", "if a and b:", "if a and b and c:", "if a and b and c and d:"),
+        F.lit("    f(flag)"),
+        F.when(size % 5 == 0, "eval(input())").otherwise("eval('1')"),
+        F.lit("try:\n    g()\nexcept ValueError:"),
+        pick(2, "    logger.error(e)", "    h()"),
+        F.lit("ys = [Repo.get(y) for y in zs]"),
+        F.when(size % 7 == 0, "if True:\n    f()\nelse:\n    g()").otherwise("print(ys)"),
+    ]
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("doc_id"), F.concat_ws("\n", *lines).alias("source"))
+
+
+def over_parts(name: str, plan: Callable[[DataFrame], DataFrame], sql: str | None) -> None:
+    KNOWN[name] = (lambda spark, sf_dir: plan(read_sources(parts_sources(spark, sf_dir))), sql)
+
+
+_PART = "CAST(p_partkey AS STRING) AS doc_id"
+over_parts("parts_cyclomatic", metrics.cyclomatic, f"SELECT {_PART}, CAST(4 + p_size % 4 + CASE WHEN p_size % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS cyclomatic FROM part")
+over_parts("parts_simplify_conditional", lambda n: documents.simplify_conditional(n).select("doc_id", "simplification"), f"SELECT {_PART}, ['use_condition', 'negate_condition', 'use_and'][p_size % 3 + 1] AS simplification FROM part")
+over_parts("parts_complex_conditionals", lambda n: documents.complex_conditionals(n).select("doc_id", "operators", "severity"), f"SELECT {_PART}, CAST(3 AS BIGINT) AS operators, 'medium' AS severity FROM part WHERE p_size % 4 = 3")
+over_parts("parts_taint", lambda n: documents.taint(n).select("doc_id", "sink", "source", "risk"), f"SELECT {_PART}, 'eval' AS sink, 'input' AS source, 'critical' AS risk FROM part WHERE p_size % 5 = 0")
+over_parts("parts_dead_code", lambda n: documents.dead_code(n).select("doc_id", "finding"), f"SELECT {_PART}, 'always_true' AS finding FROM part WHERE p_size % 7 = 0")
+over_parts("parts_unused_variables", documents.unused_variables, f"SELECT {_PART}, 'ys' AS variable FROM part WHERE p_size % 7 = 0")
+over_parts(
+    "parts_business_logic", lambda n: business.analyze(n, ("swallowing_exception", "n_plus_one_query", "hardcoded_value")).select("doc_id", "analyzer", "severity"),
+    f"SELECT {_PART}, 'n_plus_one_query' AS analyzer, 'warning' AS severity FROM part UNION ALL SELECT {_PART}, 'swallowing_exception', 'warning' FROM part WHERE p_size % 2 = 1",
+)
+over_parts("parts_purity", lambda n: documents.purity(n).select("doc_id", "effects", "purity"), f"SELECT {_PART}, CASE WHEN p_size % 5 = 0 OR p_size % 7 <> 0 THEN 'database,exception,io,mutation' ELSE 'database,exception,mutation' END AS effects, 'impure' AS purity FROM part")
+over_parts("parts_inspect", lambda n: primitives.inspect(n).select("doc_id", "language", "variables"), None)
+KNOWN["parts_round_trip"] = (lambda spark, sf_dir: round_trip(parts_sources(spark, sf_dir)), f"SELECT {_PART}, true AS stable FROM part")
+KNOWN["parts_valid_source"] = (lambda spark, sf_dir: valid_source(to_source(read_sources(parts_sources(spark, sf_dir)))), f"SELECT {_PART}, true AS valid FROM part")
+
+
+def translated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ruby trees, one for each supplier, as Python source."""
+    tree = F.concat(F.lit('{"type": "send", "children": [{"type": "lvar", "children": ["x"]}, "+", {"type": "int", "children": ['), F.col("s_suppkey").cast("string"), F.lit("]}]}"))
+    return translate(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("doc_id"), tree.alias("source")), "ruby")
+
+
+KNOWN["translate_ruby"] = (translated, "SELECT CAST(s_suppkey AS STRING) AS doc_id, concat('(x + ', CAST(s_suppkey AS STRING), ')', chr(10)) AS source FROM supplier")
+over("clone_pairs", "nations", lambda n: clones.detect(n.filter("parent_pre = -1").select(F.lit("n0").alias("left"), F.col("doc_id").alias("right")).filter("right <> 'n0'"), n))
+over("equivalence", "nations", lambda n: primitives.equivalent(n, n.withColumn("line", F.col("line") + 1)), "SELECT DISTINCT doc_id, true AS equivalent FROM nodes")
+KNOWN["supplemental_matrix"] = (
+    lambda spark, sf_dir: supplementals.default().matrix(spark),
+    "SELECT * FROM (VALUES ('actor_call', 'pykka'), ('actor_cast', 'pykka'), ('spawn_actor', 'pykka'), ('async_await', 'asyncio'), ('async_context', 'asyncio'), ('gather', 'asyncio')) AS t(construct, python)",
+)
+over("supplementals_missing", "orders", lambda n: supplementals.default().missing(n, "python"), "SELECT doc_id, type AS construct FROM nodes WHERE false")
+
+
 def queries() -> dict[str, Query]:
     return {k: q for k, (q, _) in KNOWN.items()}
 

@@ -278,7 +278,12 @@ class PythonReader:
         return collection_op("map", lambda_([g.target.id], self.read(n.elt)), self.read(g.iter))
 
     def read_Try(self, n: ast.Try) -> Node:
-        arms = [match_arm(variable(self.dotted(h.type) or "_") if h.type else None, self.body(h.body)) for h in n.handlers]
+        arms = []
+        for h in n.handlers:
+            kind = variable(self.dotted(h.type) or "_") if h.type else None
+            arms.append(match_arm(kind, self.body(h.body)))
+            if kind:
+                kind.role = "exception_type"  # a read, not a binding
         return exception_handling(self.body(n.body), arms, self.body(n.finalbody) if n.finalbody else None)
 
     def read_FunctionDef(self, n: ast.FunctionDef) -> Node:
