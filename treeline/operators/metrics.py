@@ -76,29 +76,26 @@ def nesting(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("doc_id").agg(F.max("nest").cast("long").alias("max_nesting"))
 
 
-def halstead_tokens(nodes: DataFrame) -> DataFrame:
-    """(doc_id, operand, token): the operators and operands that each node emits."""
-    def token(operand: bool, text: Column) -> Column:
-        return F.struct(F.lit(operand).alias("operand"), text.alias("token"))
-
-    op, none = lambda t: token(False, t if isinstance(t, Column) else F.lit(t)), F.lit(None)
-    first = (
-        F.when(is_a("binary_op", "unary_op"), op(C("operator"))).when(is_a("conditional"), op("if")).when(is_a("loop"), op(C("loop_type"))).when(is_a("assignment", "inline_match"), op("="))
-        .when(is_a("function_call"), op("()")).when(is_a("exception_handling"), op("try")).when(is_a("pattern_match"), op("case")).when(is_a("early_return"), op("return"))
-        .when(is_a("lambda"), op("lambda")).when(is_a("container"), op(C("container_type"))).when(is_a("function_def"), op("def")).when(is_a("attribute_access"), op("."))
-        .when(is_a("augmented_assignment"), op(C("operator"))).when(is_a("property"), op("property")).when(is_a("collection_op"), op("map")).when(is_a("list"), op("list")).when(is_a("map"), op("map"))
-        .when(is_a("async_operation"), op("async")).when(is_a("language_specific"), op("native")).otherwise(none)
-    )
+def halstead_tokens() -> tuple[Column, Column, Column]:
+    """The operator, the operand and the second operator that a node emits; null where it emits none."""
     quoted = F.when(C("subtype") == "string", F.concat(F.lit('"'), C("value"), F.lit('"'))).otherwise(F.coalesce(C("value"), F.lit("null")))
-    second = F.when(is_a("literal"), token(True, quoted)).when(is_a("variable", "param"), token(True, C("value"))).when(is_a("function_call", "container", "function_def", "attribute_access"), token(True, C("name"))).otherwise(none)
-    third = F.when(is_a("function_def") & C("visibility").isNotNull(), op(C("visibility"))).otherwise(none)
-    return nodes.select("doc_id", F.explode(F.array_compact(F.array(first, second, third))).alias("t")).select("doc_id", "t.operand", "t.token")
+    fixed = {
+        "conditional": "if", "assignment": "=", "inline_match": "=", "function_call": "()", "exception_handling": "try", "pattern_match": "case", "early_return": "return", "lambda": "lambda", "function_def": "def",
+        "attribute_access": ".", "property": "property", "collection_op": "map", "list": "list", "map": "map", "async_operation": "async", "language_specific": "native",
+    }
+    own = F.when(is_a("binary_op", "unary_op", "augmented_assignment"), C("operator")).when(is_a("loop"), C("loop_type")).when(is_a("container"), C("container_type"))
+    for kind, token in fixed.items():
+        own = own.when(is_a(kind), token)
+    operand = F.when(is_a("literal"), quoted).when(is_a("variable", "param"), C("value")).when(is_a("function_call", "container", "function_def", "attribute_access"), C("name"))
+    return own, operand, F.when(is_a("function_def"), C("visibility"))
 
 
 def halstead(nodes: DataFrame) -> DataFrame:
-    """Token counts first, then one row for each document: the shuffle carries distinct tokens only."""
-    per = halstead_tokens(nodes).groupBy("doc_id", "operand", "token").count()
-    g = per.groupBy("doc_id").agg(count_if(~C("operand")).alias("n1"), count_if(C("operand")).alias("n2"), F.sum(F.when(~C("operand"), C("count")).otherwise(0)).alias("total1"), F.sum(F.when(C("operand"), C("count")).otherwise(0)).alias("total2"))
+    """One grouping by document: counts add up, and a document's distinct tokens are sets that its size bounds."""
+    first, operand, second = halstead_tokens()
+    g = nodes.select("doc_id", first.alias("a"), operand.alias("b"), second.alias("c")).groupBy("doc_id").agg(
+        F.size(F.array_union(F.collect_set("a"), F.collect_set("c"))).cast("long").alias("n1"), F.size(F.collect_set("b")).cast("long").alias("n2"), (F.count("a") + F.count("c")).alias("total1"), F.count("b").alias("total2")
+    )
     vocabulary, length = C("n1") + C("n2"), C("total1") + C("total2")
     g = g.withColumn("volume", F.when(vocabulary > 0, length * F.log2(vocabulary.cast("double"))).otherwise(0.0))
     g = g.withColumn("difficulty", F.when(C("n2") > 0, C("n1") / 2.0 * C("total2") / C("n2")).otherwise(0.0))

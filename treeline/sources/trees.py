@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,34 +127,36 @@ def text_of(value: Any) -> str | None:
     return None if value is None else ("true" if value else "false") if isinstance(value, bool) else str(value)
 
 
-def flatten(doc_id: str, root: Node, language: str | None = None) -> list[dict[str, Any]]:
-    """The rows of one tree in pre-order, without recursion so that deep trees don't matter."""
-    rows: list[dict[str, Any]] = []
+SIZE, PARENT = COLUMNS.index("size"), COLUMNS.index("parent_pre")
+
+
+def rows_of(doc_id: str, root: Node, language: str | None = None) -> list[list[Any]]:
+    """The rows of one tree in pre-order, in order of COLUMNS; without recursion, so that deep trees don't matter."""
+    rows: list[list[Any]] = []
     todo: list[tuple[Node, int, int, int, int]] = [(root, -1, 0, 0, 0)]
     while todo:
         n, parent, ix, depth, nest = todo.pop()
-        m = n.meta
-        at = len(rows)
+        m = n.meta.get
+        at, c = len(rows), n.children
         rows.append(
-            {
-                "doc_id": doc_id, "pre": at, "parent_pre": parent, "ix": ix, "depth": depth, "size": 1, "n_children": len(n.children), "role": n.role, "type": n.type,
-                "subtype": m.get("subtype"), "value": text_of(n.value), "category": m.get("category"), "operator": m.get("operator"), "name": m.get("name"), "op_type": m.get("op_type"),
-                "loop_type": m.get("loop_type"), "container_type": m.get("container_type"), "visibility": m.get("visibility"), "kind": m.get("kind"), "language": m.get("language", language),
-                "line": m.get("line"), "nest": nest, "in_meta": n.in_meta,
-            }
-        )
-        for i in range(len(n.children) - 1, -1, -1):
-            c = n.children[i]
-            todo.append((c, at, i, depth + 1, nest + ((n.type, c.role) in DEEPER)))
+            [doc_id, at, parent, ix, depth, 1, len(c), n.role, n.type, m("subtype"), text_of(n.value), m("category"), m("operator"), m("name"), m("op_type"), m("loop_type"), m("container_type"), m("visibility"), m("kind"), m("language", language), m("line"), nest, n.in_meta]
+        )
+        for i in range(len(c) - 1, -1, -1):
+            x = c[i]
+            todo.append((x, at, i, depth + 1, nest + 1 if (n.type, x.role) in DEEPER else nest))
     for r in reversed(rows):
-        if r["parent_pre"] >= 0:
-            rows[r["parent_pre"]]["size"] += r["size"]
+        if r[PARENT] >= 0:
+            rows[r[PARENT]][SIZE] += r[SIZE]
     return rows
 
 
+def flatten(doc_id: str, root: Node, language: str | None = None) -> list[dict[str, Any]]:
+    return [dict(zip(COLUMNS, r, strict=True)) for r in rows_of(doc_id, root, language)]
+
+
 def nodes_of(spark: SparkSession, trees: dict[str, Node], language: str = "python") -> DataFrame:
     """The node relation of hand-made trees."""
-    rows = [tuple(r[c] for c in COLUMNS) for k, t in trees.items() for r in flatten(k, t, language)]
+    rows = [tuple(r) for k, t in trees.items() for r in rows_of(k, t, language)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -312,19 +314,29 @@ READERS = {"python": lambda source: PythonReader().read(ast.parse(source)), "jso
 def read_sources(sources: DataFrame, language: str = "python") -> DataFrame:
     """The node relation of (doc_id, source). A source that can't be parsed gives one language_specific row with kind parse_error."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in SCHEMA.split(", ")])
+
+    def batch(rows: list[list[Any]]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = READERS[language]
-        for f in frames:
-            rows: list[dict[str, Any]] = []
-            for k, s in zip(f["doc_id"], f["source"], strict=True):
+        for b in batches:
+            rows: list[list[Any]] = []
+            for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     tree = read(s or "")
-                except (SyntaxError, ValueError, RecursionError, KeyError, TypeError):
+                except (SyntaxError, ValueError, RecursionError, KeyError, TypeError, IndexError):
                     tree = native(language, "parse_error")
-                rows += flatten(k, tree, language)
-            yield pd.DataFrame(rows, columns=list(COLUMNS)).astype({c: "Int64" for c in ("line",)})
+                rows += rows_of(k, tree, language)
+                if len(rows) > 50_000:
+                    yield batch(rows)
+                    rows = []
+            yield batch(rows)
 
-    return sources.select(F.col("doc_id").cast("string").alias("doc_id"), "source").mapInPandas(run, SCHEMA)
+    return sources.select(F.col("doc_id").cast("string").alias("doc_id"), "source").mapInArrow(run, SCHEMA)
 
 
 def language_of(path: Column) -> Column:
