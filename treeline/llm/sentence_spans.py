@@ -1,6 +1,7 @@
 """Substring dedup over sliding spans of sentences.
 
-A text is cut into sentences after . ! ? (and closing marks), and at line ends; a run of LONG words without such a cut is cut
+A text is cut into sentences after . ! ? (and closing marks), at line ends, and before a capitalised word that follows a lower-case
+one, where a passage may have been set into another sentence; a run of LONG words without such a cut is cut
 further at places that its own words choose, so that equal passages are cut alike wherever they stand. From every sentence a span runs
 over the fewest consecutive sentences, MIN_SENTENCES at least, that hold MIN_WORDS words. Spans are hashed to 128 bits
 over their lower-cased words and joined over the whole corpus. All sentences that a span covers are removed wherever it isn't the
@@ -39,7 +40,7 @@ CHOSEN = 8
 #: Spans and rows that a worker holds before it hands them on.
 BATCH_SPANS, BATCH_ROWS = 20_000, 500
 
-SENTENCE = re.compile(r".*?(?:[.!?]+[\"'”’»)\]]*\s+|\n\s*|\Z)", re.S)
+SENTENCE = re.compile(r".*?(?:[.!?]+[\"'”’»)\]]*\s+|\n\s*|(?<=[a-zß-ÿ,])\s+(?=[A-ZÀ-Þ][a-zß-ÿ\s])|\Z)", re.S)
 
 
 def sentences(text: str) -> list[str]:
