@@ -34,6 +34,18 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows are whole documents, some of them long: so many of them make a batch between Spark and Python.
+BATCH = 1_000
+
+
+def with_small_batches(df: DataFrame) -> DataFrame:
+    """The same rows, after the session has been told to hand at most BATCH of them to Python at once; a smaller setting stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH:
+        conf.set(key, str(BATCH))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

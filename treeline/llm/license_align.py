@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeline.llm.common import with_small_batches
+
 WORD = re.compile(r"\w+(?:[.\-]\w+)*")
 THRESHOLD = 0.8
 
@@ -164,7 +166,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             cols = [pa.array([x[i] for x in best], k) for i, k in enumerate((pa.string(), pa.float64(), pa.int32(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(all_, pa.list_(match))], names=["id", "license", "coverage", "first_word", "end_word", "matches"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+    out = with_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"id {kind}, license string, coverage double, first_word int, end_word int, matches array<struct<license:string,coverage:double,first_word:int,end_word:int>>"
     )
     return out.withColumnRenamed("id", id_col)

@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeline.llm.common import with_small_batches
 from treeline.llm.labelled import held_out, training_rows
 
 BUCKETS = 1 << 15
@@ -195,7 +196,7 @@ def train(x: np.ndarray, y: np.ndarray, *, epochs: int = 40, batch: int = 128, r
 def quality_scores(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, sample: int = SAMPLE, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, held_out, score, predicted, and the columns named in keep."""
     context = docs.sparkSession.sparkContext
-    vectors = context.broadcast(word_vectors(docs, text_col))
+    vectors = context.broadcast(word_vectors(with_small_batches(docs), text_col))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import durable
+from treeline.llm.common import durable, with_small_batches
 
 MIN_SENTENCES = 2
 MIN_WORDS = 15
@@ -165,7 +165,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """All rows and columns with the repeated sentences cut from the text, and n_sentences and n_removed."""
     added = ("n_sentences", "n_removed")
     kept = [c for c in docs.columns if c.lower() not in added]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept])
+    rows = with_small_batches(docs).select(*[F.col(f"`{c}`") for c in kept])
     key = F.xxhash64(F.col(text_col))
     rows = rows.withColumn("__key", key).withColumn("__row", F.coalesce(F.col(id_col).cast("long"), F.lit(2**62) + F.shiftrightunsigned("__key", 2)))
     lost = lost_spans(docs, id_col, text_col).select(F.col("row").alias("__lost_row"), F.col("key").alias("__lost_key"), F.col("lost").alias("__lost"))

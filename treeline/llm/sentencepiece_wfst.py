@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeline.llm.common import with_small_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
 CACHE = 300_000
@@ -268,6 +270,6 @@ def encode_documents(docs: DataFrame, *, text_col: str = "text", model: str = MO
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=mask)
                 yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(sizes, pa.int32()), pa.array(ok, pa.bool_())], names=[*kept, *added])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept])
+    rows = with_small_batches(docs).select(*[F.col(f"`{c}`") for c in kept])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, f"{fields}, ids array<int>, n_tokens int, round_trip boolean")

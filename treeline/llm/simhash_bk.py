@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import durable
+from treeline.llm.common import durable, with_small_batches
 
 SHINGLE = 4
 SEED = 42
@@ -218,7 +218,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _rooted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(id, key, fp) of every row, and (fp, least, root) of every fingerprint: the least id with it and its component's root."""
     ids = docs.schema[id_col].dataType.simpleString()
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
+    read = with_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
     prints = durable(read.mapInArrow(_fingerprints, f"id {ids}, key long, fp long"))
     classes = durable(prints.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(classes.select("fp"), classes.count()))

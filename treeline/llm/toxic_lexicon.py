@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import durable
+from treeline.llm.common import durable, with_small_batches
 from treeline.llm.labelled import held_out, training_rows
 
 #: The most labelled rows that the lexicon is learned from.
@@ -191,7 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str, te
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """Per row: id, held_out, score, predicted."""
-    lexicon = learn(docs, labels, label_col=label_col, id_col=id_col, text_col=text_col, sample=sample)
+    lexicon = learn(with_small_batches(docs), labels, label_col=label_col, id_col=id_col, text_col=text_col, sample=sample)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
