@@ -35,9 +35,9 @@ from treeline.llm.common import with_small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
-CACHE = 300_000
+CACHE = 120_000
 #: Pairs of neighbours that a worker remembers.
-PAIRS = 500_000
+PAIRS = 300_000
 #: An arc is END x its end + its number. These numbers stand for the start of the input and for a character that occurs in no piece.
 END = 1 << 24
 START, OTHER = END - 1, END - 2
