@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,6 +24,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Bytes that a task writing a durable table gathers in memory before it closes a row group.
+ROW_GROUP = 32 << 20
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read back.
 
@@ -30,19 +35,21 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/treeline/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows are whole documents, some of them long: so many of them make a batch between Spark and Python.
-BATCH = 1_000
+#: Rows are whole documents, some of them long: batches between Spark and Python are limited by bytes, whatever the length of a row.
+BATCH_BYTES = 2 << 20
+UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
 
 
 def with_small_batches(df: DataFrame) -> DataFrame:
-    """The same rows, after the session has been told to hand at most BATCH of them to Python at once; a smaller setting stays."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key, "10000")) <= BATCH:
-        conf.set(key, str(BATCH))
+    """The same rows, after the session has been told to hand at most about BATCH_BYTES to Python at once; a smaller setting stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)\s*([bkmg]?)b?", (conf.get(key, None) or "-1").lower()).groups()
+    if not 0 < int(number) * UNITS[unit] <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
     return df
 
 

@@ -39,9 +39,9 @@ SLICE = 512
 #: The most labelled rows that the network is fitted on.
 SAMPLE = 20_000
 HIDDEN = 32
-CHUNK = 500_000
+CHUNK = 250_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 class Codes(dict):
