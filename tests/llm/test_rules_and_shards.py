@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from treeline.llm import queries
+from treeline.llm import queries, shard_tree
 from treeline.llm.line_rules import line_rules
 from treeline.llm.mixing import mix_sources, source_targets
 from treeline.llm.shard_tree import grown, leaves, shard_documents, tree
@@ -82,6 +82,21 @@ def test_shards_follow_the_law(spark, odd):
     assert len(many) == 24 and all(800 < r["count"] < 1200 for r in many)
 
 
+def test_slots_of_equal_rows_and_pieces(spark, monkeypatch):
+    monkeypatch.setattr(shard_tree, "PIECE", 40)
+    plain = spark.range(2000).select("id", F.lit("x").alias("text"))
+    equal = spark.range(0, 1000, 1, 7).select(F.lit(None).cast("long").alias("id"), F.lit("same").alias("text"))
+    named = spark.range(0, 300, 1, 3).select(F.lit(5).cast("long").alias("id"), F.lit("x").alias("text"))
+    got = shard_documents(plain.union(equal).union(named).withColumnRenamed("id", "doc_id")).collect()
+    slots, places = defaultdict(list), defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+        places[r.doc_id].append(r.slot)
+    assert len(got) == 3300 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    for i, n in ((None, 1000), (5, 301)):
+        assert sorted(places[i]) == list(range(min(places[i]), min(places[i]) + n))
+
+
 def test_growing_twice_moves_rows_into_the_new_shard_only(spark):
     ids = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     root = grown(tree(2, 2, 2))

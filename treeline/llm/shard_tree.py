@@ -6,8 +6,11 @@ of weight moves documents only into or out of the subtree whose weight changed.
 own, so that no other weight changes and documents move only into the new shard.
 
 Law: `key` (the id and the tree decide). Draws are column expressions; nothing is learned from the data and no row has to meet
-another to get its shard. For gapless slots, rows are dealt by shard and by leading bits of their hash into pieces of about
-PIECE rows; a table of piece sizes gives each piece its first slot. A shard is never gathered in one task.
+another to get its shard. For gapless slots, rows that agree in id, size and checksum are counted by the part of the input they
+came from; these counts are dealt by shard and by leading bits of their hash into pieces of about PIECE rows, and running sums
+over pieces and within them give each part of a group its first slot. Only rows of one group from one part of the input meet in
+a task, so that neither a shard nor a group of equal rows is gathered there, however large it is. The rows are written as a
+durable table before they are counted, so that a row keeps its part when a lost task is done again.
 
 Defined results: a null id is the key "null"; a null text has size EXTRA and the checksum of an empty text; rows that agree in
 id, size and checksum are interchangeable and get neighbouring slots; an empty table gives an empty result; an input column with
@@ -22,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.llm.common import pieces_for
+from treeline.llm.common import durable, pieces_for
 
 EXTRA = 8
 PIECE = 50_000
@@ -82,23 +85,30 @@ def with_shard(df: DataFrame, key: str, root: Node, name: str) -> DataFrame:
     return df.withColumn(name, F.expr(f"array({', '.join(str(n.shard) for n in level)})[`{name}`]"))
 
 
-def shard_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", root: Node | None = None) -> DataFrame:
-    """All rows and columns, with size, text_crc32, law, shard, slot and grown_shard."""
+def shard_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", root: Node | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """All rows, with size, text_crc32, law, shard, slot and grown_shard; of the input columns those in keep, all where it is None."""
     root = root or tree()
     added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     out = docs.drop(*[c for c in docs.columns if c.lower() in added])
-    out = out.withColumn("__key", F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+    kept = [c for c in out.columns if keep is None or c in keep]
+    out = out.withColumns({"__id": F.col(id_col), "__key": F.coalesce(F.col(id_col).cast("string"), F.lit("null"))})
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = out.withColumns({"size": F.octet_length(text).cast("bigint") + EXTRA, "text_crc32": F.crc32(text), "law": F.lit("key")})
     out = with_shard(with_shard(out, "__key", root, "shard"), "__key", grown(root), "grown_shard")
     order = F.md5(F.concat_ws("|", "__key", F.col("size").cast("string"), F.col("text_crc32").cast("string")))
-    out = out.withColumn("__h", F.substring(order, 1, 15))
-    bits = pieces_for(docs.count() // max(1, len(leaves(root))), PIECE)
-    out = out.withColumn("__piece", F.shiftright(F.conv("__h", 16, 10).cast("bigint"), 60 - bits))
-    first = Window.partitionBy("shard").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = out.groupBy("shard", "__piece").agg(F.count(F.lit(1)).alias("__n"))
-    pieces = pieces.select("shard", "__piece", F.coalesce(F.sum("__n").over(first), F.lit(0)).alias("__first"))
-    inside = Window.partitionBy("shard", "__piece").orderBy("__h", id_col, "size", "text_crc32")
-    out = out.join(pieces, ["shard", "__piece"]).withColumn("slot", F.col("__first") + F.row_number().over(inside) - 1)
-    kept = [c for c in docs.columns if c.lower() not in added]
+    out = out.withColumns({"__h": F.conv(F.substring(order, 1, 15), 16, 10).cast("bigint"), "__part": F.spark_partition_id()})
+    out = durable(out.select(*[F.col(f"`{c}`") for c in kept], "__id", "__key", "size", "text_crc32", "law", "shard", "grown_shard", "__h", "__part"))
+    bits = pieces_for(out.count() // max(1, len(leaves(root))), PIECE)
+    same = ["shard", "__h", "__key", "size", "text_crc32", "__part"]
+    groups = out.groupBy(*same).agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__id"))
+    groups = groups.withColumn("__piece", F.shiftright("__h", 60 - bits))
+    before = Window.unboundedPreceding, -1
+    over_pieces = Window.partitionBy("shard").orderBy("__piece").rowsBetween(*before)
+    pieces = groups.groupBy("shard", "__piece").agg(F.sum("__n").alias("__n"))
+    pieces = pieces.select("shard", "__piece", F.coalesce(F.sum("__n").over(over_pieces), F.lit(0)).alias("__first"))
+    inside = Window.partitionBy("shard", "__piece").orderBy("__h", "__id", "size", "text_crc32", "__key", "__part").rowsBetween(*before)
+    earlier = groups.withColumn("__earlier", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    first = earlier.join(pieces, ["shard", "__piece"]).select(*same, (F.col("__first") + F.col("__earlier")).alias("__from"))
+    number = F.row_number().over(Window.partitionBy(*same).orderBy("__part"))
+    out = out.join(first, same).withColumn("slot", F.col("__from") + number - 1)
     return out.select(*[F.col(f"`{c}`") for c in kept], *added)
