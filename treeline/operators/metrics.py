@@ -34,6 +34,16 @@ def validation(nodes: DataFrame, deep: int = 100, large: int = 1000) -> DataFram
     return g.withColumn("warnings", F.array_join(F.array_compact(warnings), ","))
 
 
+def constraints(nodes: DataFrame, strict: bool = False, max_depth: int = 1000, max_variables: int = 10_000) -> DataFrame:
+    """(doc_id, error): the first constraint that a document breaks, null for none. Only strict documents may hold no native construct."""
+    broken = (
+        F.when(F.lit(strict) & (C("native_constructs") > 0), "native_constructs_not_allowed")
+        .when(C("tree_depth") > max_depth, F.format_string("max_depth_exceeded %d > %d", C("tree_depth"), F.lit(max_depth)))
+        .when(C("variable_count") > max_variables, F.format_string("too_many_variables %d > %d", C("variable_count"), F.lit(max_variables)))
+    )
+    return validation(nodes).select("doc_id", broken.alias("error"))
+
+
 def conformance(nodes: DataFrame) -> DataFrame:
     """(doc_id, conforms, n_bad): each node against the contract of its type; a document conforms if all of its nodes do."""
     n = C("n_children")
@@ -76,6 +86,17 @@ def nesting(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("doc_id").agg(F.max("nest").cast("long").alias("max_nesting"))
 
 
+def nesting_issues(nodes: DataFrame, warn: int = 4, most: int = 5) -> DataFrame:
+    """(doc_id, pre, type, nesting, severity): nodes below which the nesting reaches warn, from the node on; a warning from most on.
+
+    Only nodes that are nested deeply enough themselves look for the nodes above them, so that shallow documents join nothing.
+    """
+    deep = nodes.filter(C("nest") >= warn).select(C("doc_id").alias("d"), C("pre").alias("p"), C("nest").alias("n"))
+    inside = (C("doc_id") == C("d")) & (C("p") >= C("pre")) & (C("p") < C("pre") + C("size")) & (C("n") >= C("nest") + warn)
+    found = nodes.join(deep, inside).groupBy("doc_id", "pre", "type").agg(F.max(C("n") - C("nest")).cast("long").alias("nesting"))
+    return found.withColumn("severity", F.when(C("nesting") >= most, "warning").otherwise("info"))
+
+
 def halstead_tokens() -> tuple[Column, Column, Column]:
     """The operator, the operand and the second operator that a node emits; null where it emits none."""
     quoted = F.when(C("subtype") == "string", F.concat(F.lit('"'), C("value"), F.lit('"'))).otherwise(F.coalesce(C("value"), F.lit("null")))

@@ -249,6 +249,28 @@ KNOWN["supplemental_matrix"] = (
 over("supplementals_missing", "orders", lambda n: supplementals.default().missing(n, "python"), "SELECT doc_id, type AS construct FROM nodes WHERE false")
 
 
+over(
+    "validation_constraints", "orders", lambda n: metrics.constraints(n, strict=True, max_depth=3, max_variables=1),
+    """SELECT doc_id, CASE WHEN native > 0 THEN 'native_constructs_not_allowed' WHEN deep > 3 THEN concat('max_depth_exceeded ', deep, ' > 3') WHEN names > 1 THEN concat('too_many_variables ', names, ' > 1') END AS error
+    FROM (SELECT doc_id, count(*) FILTER (type = 'language_specific') AS native, max(depth) + 1 AS deep, count(DISTINCT CASE WHEN type = 'variable' THEN value END) AS names FROM nodes GROUP BY doc_id)""",
+)
+
+
+def nested_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python program for each part, of conditions nested up to six times by the part's size, and its deeply nested conditions."""
+    levels = F.col("p_size") % 7
+    lines = [F.when(levels > i, F.lit("    " * i + "if a:\n")).otherwise("") for i in range(6)]
+    source = F.concat(*lines, F.expr("repeat('    ', p_size % 7)"), F.lit("f()\n"))
+    nodes = read_sources(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("doc_id"), source.alias("source")))
+    return metrics.nesting_issues(nodes).filter("type = 'conditional'").select("doc_id", "nesting", "severity")
+
+
+KNOWN["nesting_depth"] = (
+    nested_sources,
+    f"SELECT {_PART}, CAST(n AS BIGINT) AS nesting, CASE WHEN n >= 5 THEN 'warning' ELSE 'info' END AS severity FROM part, (SELECT unnest([4, 5, 6]) AS n) WHERE n <= p_size % 7",
+)
+
+
 def queries() -> dict[str, Query]:
     return {k: q for k, (q, _) in KNOWN.items()}
 

@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.operators import business, documents
+from treeline.operators import business, documents, metrics
 
 ISSUES = ("doc_id", "pre", "analyzer", "category", "severity")
 
@@ -42,6 +42,15 @@ class Registry:
     def configure(self, name: str, **config: Any) -> None:
         self.known[name].config |= config
 
+    def get_config(self, name: str) -> dict[str, Any]:
+        return dict(self.known[name].config)
+
+    def by_name(self, name: str) -> Analyzer | None:
+        return self.known.get(name)
+
+    def clear(self) -> None:
+        self.known.clear()
+
     def by_category(self, category: str) -> list[Analyzer]:
         return [a for a in self.known.values() if a.category == category]
 
@@ -58,9 +67,15 @@ def default_registry() -> Registry:
     r.register(Analyzer("security", "security", _document(documents.security, "security", "security", "error")))
     r.register(Analyzer("simplify_conditional", "refactoring", _document(documents.simplify_conditional, "simplify_conditional", "refactoring", "refactoring_opportunity")))
     r.register(Analyzer("taint", "security", _document(documents.taint, "taint", "security", "error")))
+    r.register(Analyzer("nesting_depth", "maintainability", _nesting, {"warn": 4, "most": 5}))
     return r
 
 
+def _nesting(nodes: DataFrame, config: dict[str, Any]) -> DataFrame:
+    found = metrics.nesting_issues(nodes, config["warn"], config["most"])
+    return found.select("doc_id", "pre", F.lit("nesting_depth").alias("analyzer"), F.lit("maintainability").alias("category"), "severity")
+
+
 def run(nodes: DataFrame, names: tuple[str, ...] | None = None, registry: Registry | None = None, max_issues: int | None = None) -> DataFrame:
     """The issues of the named analyzers (all by default), at most max_issues of a document in order of place and analyzer."""
     registry = registry or default_registry()
