@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from treeline.functions.semantics import REFERENCE
+
 
 def _words(text: str) -> tuple[str, ...]:
     return tuple(text.split())
@@ -189,77 +191,5 @@ FILE_SAVES = _words("write write! copy copy! stream! save save! store store! Fil
 UPLOAD_CHECKS = _words("extname extension content_type mime_type file_type allowed_types valid_extension file_size size max_size limit")
 UNSAFE_HTML = _words("raw html_safe safe innerHTML dangerouslySetInnerHTML mark_safe")
 
-
-def _patterns(domain: str, framework: str, rows: str) -> list[tuple[str, str, str, str]]:
-    """(domain, framework, pattern, operation) of lines `operation: pattern pattern ...`; * stands for any text at an end."""
-    out = []
-    for line in rows.strip().splitlines():
-        operation, _, names = line.partition(": ")
-        out += [(domain, framework, name, operation) for name in names.split()]
-    return out
-
-
-# What a call's name says about it; the first pattern that fits is taken, exact names before open ones.
-SEMANTICS = (
-    _patterns("db", "ecto", """
-retrieve: Repo.get Repo.get! Repo.get_by Repo.get_by! Repo.one Repo.one! *.Repo.get *.Repo.get! *.Repo.one
-retrieve_all: Repo.all *.Repo.all
-create: Repo.insert Repo.insert! Repo.insert_all Repo.insert_or_update Repo.insert_or_update! *.Repo.insert *.Repo.insert!
-update: Repo.update Repo.update! Repo.update_all *.Repo.update *.Repo.update!
-delete: Repo.delete Repo.delete! Repo.delete_all *.Repo.delete *.Repo.delete!
-transaction: Repo.transaction *.Repo.transaction
-preload: Repo.preload *.Repo.preload
-aggregate: Repo.aggregate
-query: Repo.exists? Ecto.Query.from
-""")
-    + _patterns("db", "sqlalchemy", """
-query: session.query
-create: session.add session.add_all
-delete: session.delete
-update: session.merge
-transaction: session.commit session.flush
-""")
-    + _patterns("db", "activerecord", """
-create: *.create *.create!
-retrieve: *.find *.find_by
-delete: *.destroy *.delete
-update: *.save *.update
-""")
-    + _patterns("http", "requests", """
-get: requests.get
-post: requests.post
-put: requests.put
-delete: requests.delete
-""")
-    + _patterns("http", "httpoison", """
-get: HTTPoison.get HTTPoison.get!
-post: HTTPoison.post HTTPoison.post!
-request: HTTPoison.request
-""")
-    + _patterns("http", "axios", """
-get: axios.get
-post: axios.post
-request: axios.request
-""")
-    + _patterns("cache", "redis", """
-get: redis.get
-set: redis.set
-delete: redis.delete
-""")
-    + _patterns("queue", "celery", """
-publish: *.delay *.apply_async
-""")
-    + _patterns("file", "python", """
-open: open
-read: *.read_text
-write: *.write_text
-delete: os.remove os.unlink
-""")
-    + _patterns("auth", "guardian", """
-login: Guardian.Plug.sign_in
-logout: Guardian.Plug.sign_out
-""")
-    + _patterns("external_api", "aws", """
-call: boto3.* ExAws.request
-""")
-)
+# Fixed values: (domain, framework, pattern, operation, language, target); one pattern of our own after those of the reference.
+SEMANTICS = (*REFERENCE, ("external_api", "aws", "boto3.*", "call", "python", "none"))
