@@ -1,8 +1,9 @@
 """Substring dedup over sliding spans of sentences.
 
 A text is cut into sentences after . ! ? (and closing marks), at line ends, and before a capitalised word that follows a lower-case
-one, where a passage may have been set into another sentence; a run of LONG words without such a cut is cut
-further at places that its own words choose, so that equal passages are cut alike wherever they stand. From every sentence a span runs
+one, where a passage may have been set into another sentence; of every WINDOW words without such a cut, the last of those with the least
+hash ends a sentence, too. A cut depends on the words of its own window only, so that equal passages are cut alike wherever they
+stand, and no WINDOW words are without one: any 3 * WINDOW + 1 words of a passage hold a complete span. From every sentence a span runs
 over the fewest consecutive sentences, MIN_SENTENCES at least, that hold MIN_WORDS words. Spans are hashed to 128 bits
 over their lower-cased words and joined over the whole corpus. All sentences that a span covers are removed wherever it isn't the
 first occurrence of that span; the first is the one in the row with the least id, and within a row the earliest.
@@ -22,7 +23,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,9 +36,8 @@ from treeline.llm.common import durable, with_small_batches
 MIN_SENTENCES = 2
 MIN_WORDS = 15
 SHORT = 8
-LONG = 40
-#: Within a run of LONG words, one word in so many ends a sentence.
-CHOSEN = 8
+#: No so many words are without a cut.
+WINDOW = 16
 
 #: Spans and rows that a worker holds before it hands them on.
 BATCH_SPANS, BATCH_ROWS = 20_000, 500
@@ -49,20 +51,16 @@ def sentences(text: str) -> list[str]:
     for s in SENTENCE.findall(text):
         if not s:
             continue
-        if len(s) > 2 * LONG and s.count(" ") > LONG:
-            parts = re.findall(r"\s*\S+\s*", s)
-            now: list[str] = []
-            for p in parts:
-                now.append(p)
-                if xxhash.xxh32_intdigest(p.strip().lower()) % CHOSEN == 0:
-                    out.append("".join(now))
-                    now = []
-            if now:
-                out.append("".join(now))
-            elif not parts:
-                out.append(s)
-        else:
+        words = s.lower().split()
+        if len(words) <= WINDOW:
             out.append(s)
+            continue
+        # The last word ends the sentence anyway.
+        h = np.fromiter(map(xxhash.xxh32_intdigest, words[:-1]), np.uint32, len(words) - 1)
+        back = np.lib.stride_tricks.sliding_window_view(h, WINDOW)[:, ::-1].argmin(axis=1)
+        chosen = np.unique(np.arange(WINDOW - 1, len(h)) - back).tolist()
+        parts = re.findall(r"\s*\S+\s*", s)
+        out += ["".join(parts[x:y]) for x, y in pairwise([0, *(c + 1 for c in chosen), len(parts)])]
     return out
 
 
