@@ -41,3 +41,12 @@ def test_cuts_do_not_depend_on_what_stands_around():
             cuts.add(at - n)
         inner.add(tuple(sorted(c for c in cuts if WINDOW < c < 60 - WINDOW)))
     assert len(inner) == 1 and len(inner.pop()) >= 1
+
+
+def test_rows_that_share_the_least_id(spark):
+    """Of two texts of the least id the one with the smaller key keeps a span, also where a third row has it."""
+    shared = "The quick brown fox jumps over it again. A lazy dog sleeps on and on without a care. "
+    texts = [(1, shared + "One thing follows here, and it is short."), (1, shared + "Quite another thing follows there, and it is not."), (2, shared + "Nothing more is said of it by anyone, they say.")]
+    df = spark.createDataFrame([(i, t, "s") for i, t in texts], SCHEMA)
+    got = [(r.doc_id, shared.strip() in r.text) for r in dedup_substrings(df).collect()]
+    assert sorted(got) == [(1, False), (1, True), (2, False)]

@@ -149,14 +149,20 @@ def lost_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     key = F.xxhash64(F.col(text_col))
     row = F.coalesce(F.col(id_col).cast("long"), F.lit(2**62) + F.shiftrightunsigned(key, 2))
     found = durable(docs.select(row.alias("row"), key.alias("key"), F.col(text_col).alias("text")).mapInArrow(_spans, "row long, key long, h1 long, h2 long, at int, n int, again boolean"))
-    fresh = found.filter("NOT again")
-    # Rows that share an id but not their text are told apart by the key, and the smaller key is first.
-    repeated = fresh.groupBy("h1", "h2").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.min("key").alias("low"), F.max("key").alias("high"))
-    repeated = repeated.filter("first < last OR low < high").select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "first", "last", "low")
+    # at and n in one number, for smaller shuffles.
+    place = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("place")
+    fresh = found.filter("NOT again").select("h1", "h2", "row", "key", place)
+    repeated = fresh.groupBy("h1", "h2").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "first")
     joined = fresh.join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")))
-    elsewhere = joined.filter("row > first OR (first = last AND key > low)").select("row", "key", "at", "n")
-    here = found.filter("again").select("row", "key", "at", "n")
-    return elsewhere.union(here).groupBy("row", "key").agg(F.collect_set(F.struct("at", "n")).alias("lost"))
+    joined = durable(joined.select("h1", "h2", "row", "key", "place", (F.col("row") > F.col("first")).alias("later")))
+    # Rows that share the least id but not their text are told apart by the key, and the smaller key is first.
+    least = joined.filter("NOT later")
+    shared = least.groupBy("h1", "h2").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), "low")
+    tied = least.join(shared, (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2"))).filter("key > low")
+    here = found.filter("again").select("row", "key", place)
+    lost = joined.filter("later").select("row", "key", "place").union(tied.select("row", "key", "place")).union(here)
+    where = F.struct(F.shiftright("place", 32).cast("int").alias("at"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n"))
+    return lost.groupBy("row", "key").agg(F.collect_set(where).alias("lost"))
 
 
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
