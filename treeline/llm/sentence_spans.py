@@ -25,7 +25,6 @@ import re
 from collections.abc import Iterator
 from itertools import pairwise
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -45,22 +44,39 @@ BATCH_SPANS, BATCH_ROWS = 20_000, 500
 SENTENCE = re.compile(r".*?(?:[.!?]+[\"'”’»)\]]*\s+|\n\s*|(?<=[a-zß-ÿ,])\s+(?=[A-ZÀ-Þ][a-zß-ÿ\s])|\Z)", re.S)
 
 
+PART = re.compile(r"\s*\S+\s*")
+
+
+def chosen(h: list[int]) -> list[int]:
+    """The places after the last of the least values of every WINDOW values, in order."""
+    out, at, n = [], 0, len(h)
+    while at + WINDOW <= n:
+        window = h[at : at + WINDOW]
+        least = min(window)
+        best = at + WINDOW - 1 - window[::-1].index(least)
+        out.append(best + 1)
+        for i in range(at + WINDOW, min(n, best + WINDOW)):
+            if h[i] <= least:
+                at = i - WINDOW + 1
+                break
+        else:
+            at = best + 1
+    return out
+
+
 def sentences(text: str) -> list[str]:
     """The sentences with the white space that follows them; joined, they are the text."""
     out = []
     for s in SENTENCE.findall(text):
         if not s:
             continue
-        words = s.lower().split()
-        if len(words) <= WINDOW:
+        if len(s) <= 2 * WINDOW or len(words := s.lower().split()) <= WINDOW:
             out.append(s)
             continue
+        parts = PART.findall(s)
         # The last word ends the sentence anyway.
-        h = np.fromiter(map(xxhash.xxh32_intdigest, words[:-1]), np.uint32, len(words) - 1)
-        back = np.lib.stride_tricks.sliding_window_view(h, WINDOW)[:, ::-1].argmin(axis=1)
-        chosen = np.unique(np.arange(WINDOW - 1, len(h)) - back).tolist()
-        parts = re.findall(r"\s*\S+\s*", s)
-        out += ["".join(parts[x:y]) for x, y in pairwise([0, *(c + 1 for c in chosen), len(parts)])]
+        ends = chosen(list(map(xxhash.xxh32_intdigest, words[:-1])))
+        out += ["".join(parts[x:y]) for x, y in pairwise([0, *ends, len(parts)])]
     return out
 
 
