@@ -9,6 +9,9 @@ texts: places of the template's telling words (those outside COMMON) that lie cl
 side, cut into overlapping pieces if it is long. Every place where a template could be covered to the threshold lies in a window, as more than
 1 - threshold of each template's words are telling ones (checked when templates are compiled).
 
+Copies side by side leave no word single in their window, so windows of a template's own width are aligned, too, from wherever a quarter of its telling
+words stand in their places; of matches of one template that overlap, whole ones come first and then the earlier aligned.
+
 Scale: a map over rows; a text without telling words costs one pass over its words. No shuffle.
 
 Defined results: null, empty and blank texts have no license; ties in coverage go to the longer template, then to the smaller name, then to the
@@ -128,6 +131,24 @@ class Scanner:
             if p is not None:
                 first = last = p
 
+    def starts(self, name: str, places: list[int], w: list[str]) -> list[int]:
+        """Where copies may start: a quarter of the telling words stand in their places from there."""
+        where: dict[str, list[int]] = {}
+        for j, x in enumerate(self.templates[name]):
+            if x not in COMMON:
+                where.setdefault(x, []).append(j)
+        votes = Counter(p - j for p in places for j in where[w[p]])
+        return sorted(s for s, n in votes.items() if n >= max(1, sum(map(len, where.values())) // 4))
+
+    def match(self, name: str, w: list[str], a: int, b: int) -> tuple[str, float, int, int] | None:
+        t = self.templates[name]
+        a = max(0, a)
+        got = align(w[a:b], t)
+        coverage = len(got) / len(t)
+        if coverage >= self.threshold and got[-1][0] + 1 - got[0][0] <= 2 * len(t):
+            return name, round(coverage, 6), a + got[0][0], a + got[-1][0] + 1
+        return None
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(template, coverage, first word, last word + 1) of every window that a template covers, best first."""
         w = words_of(text)
@@ -142,11 +163,14 @@ class Scanner:
             t = self.templates[name]
             if len(places) < len(t) * self.threshold - sum(x in COMMON for x in t):
                 continue
-            for a, b in self.windows(places, len(t), len(w)):
-                got = align(w[a:b], t)
-                coverage = len(got) / len(t)
-                if coverage >= self.threshold and got[-1][0] + 1 - got[0][0] <= 2 * len(t):
-                    found.add((name, round(coverage, 6), a + got[0][0], a + got[-1][0] + 1))
+            starts = self.starts(name, places, w)
+            whole = [x for s in starts if (x := self.match(name, w, s, s + len(t))) and x[1] == 1]
+            # A window that holds a copy may mix it with another; one that holds none may still have copies side by side, without a single word.
+            for a, b in [*self.windows(places, len(t), len(w)), *((max(0, s), min(len(w), s + len(t) + more)) for s in starts for more in (0, len(t) // 5))]:
+                x = self.match(name, w, a, b)
+                if x and not any(x[2] < end and first < x[3] for _, _, first, end in whole):
+                    whole.append(x)
+            found.update(whole)
         return sorted(found, key=lambda x: (-x[1], -len(self.templates[x[0]]), x[0], x[2]))
 
 
