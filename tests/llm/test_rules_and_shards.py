@@ -62,6 +62,21 @@ def test_lines_above_the_limit_go(spark):
     assert {(i, 3, True, body(i)) for i in range(6)} | {(10 + i, 0, True, rows[6 + i][1]) for i in range(3)} | {(20, 90, False, "rest of it")} == got
 
 
+def test_one_id_and_text_under_two_hosts(spark):
+    """The line is frequent in h1 and rare in h2, and the document is judged under each."""
+    body = " ".join(f"w{j}" for j in range(60))
+    rows = [(i, f"common line here\n{body} {i}", "h1") for i in range(6)] + [(50, f"common line here\n{body}", h) for h in ("h1", "h2", None)]
+    got = {(r.doc_id, r.n_removed_words) for r in line_rules(spark.createDataFrame(rows, SCHEMA), max_docs=5).collect()}
+    assert got == {(i, 3) for i in range(6)} | {(50, 3), (50, 0)}
+
+
+def test_repeated_windows_in_a_long_text(spark):
+    rng = random.Random(4)
+    t = " ".join(rng.choice("abcdefghijkl") + rng.choice("mnopqrst") for _ in range(20_000))
+    got = line_rules(spark.createDataFrame([(1, t, "s")], SCHEMA)).first()
+    assert (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words) == measures(t)
+
+
 def test_rules_on_an_empty_table(empty):
     assert line_rules(empty).count() == 0 == mix_sources(empty).count() == shard_documents(empty).count()
 

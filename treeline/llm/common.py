@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +17,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset, as in tests, a folder of our own."""
+    """The folder named by spark.checkpoint.dir; where that is unset and all tasks run in this process, as in tests, one of our own."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="treeline-"))
         folder = context.getCheckpointDir()
     return folder
@@ -26,17 +30,52 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Bytes that a task writing a durable table gathers in memory before it closes a row group.
 ROW_GROUP = 32 << 20
+#: The paths of durable tables, one list for each scratch() that is open.
+_open: list[list[str]] = []
+
+
+def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same rows, written as Parquet to the shared folder and read back, and the path; the table lasts until the application ends."""
+    spark = df.sparkSession
+    top = f"{shared_folder(spark).rstrip('/')}/treeline-{spark.sparkContext.applicationId}"
+    path = f"{top}/{uuid.uuid4().hex}"
+    files, folder = _file_system(spark, top)
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The same rows, written as Parquet to the shared folder and read back.
+    """The same rows from a table of their own, which goes with the scratch() around it, if there is one.
 
     This cuts the lineage: a lost executor costs the reread of a file, not the work before it.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/treeline/{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table, path = written(df)
+    if _open:
+        _open[-1].append(path)
+    return table
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        files, folder = _file_system(spark, path)
+        files.delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Durable tables that are made inside, and paths added to the list, go when it ends; what is needed further is written() before."""
+    _open.append([])
+    try:
+        yield _open[-1]
+    finally:
+        drop(spark, _open.pop())
 
 
 #: Rows are whole documents, some of them long: batches between Spark and Python are limited by bytes, whatever the length of a row.

@@ -7,10 +7,12 @@ is depleted and rejected. A base rule on words and repetition comes first.
 Scale: counting shuffles one hash for each line of a document, pre-aggregated. The frequent lines are written down; Spark broadcasts
 that table if it is below the session's threshold, else the join is a shuffle, salted by document, so that a line that a third of all
 documents carry is spread over SALTS tasks. Only lines to be removed go on from there. Texts are shuffled only if the cleaned
-text is asked for. Two lines are confused only if their 64-bit hashes are equal.
+text is asked for. Two lines are confused only if their 64-bit hashes are equal. What rows lose is one row for each id, host and text, so that
+very many equal rows are the larger side of the last join alone, which adaptive execution splits. A document's measures need its words
+in memory at once.
 
 Defined results: a null text has no words and fails the base rule; null hosts form one host; each row counts
-as a document, and rows that repeat an id and a text get the same verdict; lines without words are never removed; an empty table gives an empty result; other columns of the input are ignored.
+as a document, rows that repeat an id, a host and a text get the same verdict, and one text under two hosts is judged under each; lines without words are never removed; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ def base_measures(docs: DataFrame, text: str) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of the column text.
 
     For n_repeat_words each 3-word window is one long: its hash in the high bits, its place in as many low bits as the text
-    needs, so that sorting longs makes equal windows neighbours. In a text of n words 64 - log2(n) bits of hash remain.
+    needs, so that sorting longs makes windows of equal hashes neighbours. Only these are then sorted by their words, which decide.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     blank = F.lit(0).cast("long")
@@ -49,12 +51,17 @@ def base_measures(docs: DataFrame, text: str) -> DataFrame:
         " i -> shiftleft(xxhash64(__w[i], __w[i + 1], __w[i + 2]), __bits) | cast(i AS bigint)) END"
     )
     out = out.withColumn("__s", F.sort_array(packed.cast("array<bigint>")))
-    starts = F.expr(
+    alike = F.expr(
         "transform(filter(__s, (x, k) -> (k > 0 AND shiftrightunsigned(x, __bits) = shiftrightunsigned(__s[k - 1], __bits))"
         " OR (k < size(__s) - 1 AND shiftrightunsigned(x, __bits) = shiftrightunsigned(__s[k + 1], __bits))),"
         " x -> x & (shiftleft(1L, __bits) - 1))"
     )
-    out = out.withColumn("__p", F.sort_array(starts))
+    out = out.withColumn("__p", alike)
+    # Words hold no blanks, so that a window's words joined by blanks are the window.
+    named = F.expr("transform(__p, p -> named_struct('s', concat_ws(' ', __w[int(p)], __w[int(p) + 1], __w[int(p) + 2]), 'p', p))")
+    out = out.withColumn("__p", F.sort_array(named))
+    equal = F.expr("transform(filter(__p, (x, k) -> (k > 0 AND x.s = __p[k - 1].s) OR (k < size(__p) - 1 AND x.s = __p[k + 1].s)), x -> x.p)")
+    out = out.withColumn("__p", F.sort_array(equal))
     covered = F.expr(
         "aggregate(__p, named_struct('end', 0L, 'n', 0L),"
         " (a, p) -> named_struct('end', p + 3, 'n', a.n + least(3L, p + 3 - a.end)), a -> a.n)"
@@ -83,11 +90,12 @@ def line_rules(
     # Written down, so that its size is known: Spark broadcasts it below the session's threshold and shuffles it beyond.
     frequent = durable(counted.filter(F.col("count") > max_docs).select(F.col("__line").alias("__fl"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__fs")))
     each = lines.select("__id", "__host", "__key", F.posexplode("__lines").alias("__at", "__one"))
-    each = each.select("__id", "__key", "__at", F.xxhash64("__host", normal_line(F.col("__one"))).alias("__line"), n_words(F.col("__one")).alias("__n"), F.pmod(F.xxhash64("__id", "__key"), F.lit(SALTS)).cast("int").alias("__salt"))
-    hits = each.join(frequent, (F.col("__line") == F.col("__fl")) & (F.col("__salt") == F.col("__fs"))).select("__id", "__key", "__at", "__line", "__n").distinct()
-    gone = hits.groupBy(F.col("__id").alias("__gid"), F.col("__key").alias("__gk")).agg(F.sum("__n").alias("__gone"), *([F.collect_set("__line").alias("__drop")] if clean_text else []))
+    each = each.select("__id", "__host", "__key", "__at", F.xxhash64("__host", normal_line(F.col("__one"))).alias("__line"), n_words(F.col("__one")).alias("__n"), F.pmod(F.xxhash64("__id", "__key"), F.lit(SALTS)).cast("int").alias("__salt"))
+    hits = each.join(frequent, (F.col("__line") == F.col("__fl")) & (F.col("__salt") == F.col("__fs"))).select("__id", "__host", "__key", "__at", "__line", "__n").distinct()
+    gone = hits.groupBy(F.col("__id").alias("__gid"), F.col("__host").alias("__gh"), F.col("__key").alias("__gk")).agg(F.sum("__n").alias("__gone"), *([F.collect_set("__line").alias("__drop")] if clean_text else []))
     base = base_measures(rows, "__text")
-    out = base.join(gone, F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("__key") == F.col("__gk")), "left")
+    same = F.col("__id").eqNullSafe(F.col("__gid")) & F.col("__host").eqNullSafe(F.col("__gh")) & (F.col("__key") == F.col("__gk"))
+    out = base.join(gone, same, "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     removed = F.coalesce("__gone", F.lit(0)).cast("long")
     out = out.withColumn("base_failed", failed).withColumn("n_removed_words", removed)

@@ -8,9 +8,10 @@ vectors, weighted down for frequent tokens, plus its length.
 The network (one hidden layer, trained with Adam on the driver) learns from at most SAMPLE labelled rows outside the held-out fold; a
 fifth of them is kept aside to fit the temperature that calibrates the probabilities. Everything else covers all data.
 
-Scale: one pass over the corpus leaves a table of BUCKETS x DIMENSIONS sums in each task, shuffled by slices of the table and added up in
-a stream, so that a task holds one table at most whatever the number of tasks. The driver receives the summed table, whose size is fixed
-(4 MB), and the pooled sample. Scoring is a map over rows with the fixed-size model.
+Scale: one pass over the corpus leaves a table of BUCKETS x DIMENSIONS sums in each task, cut into slices. They are added up in two rounds,
+first each slice over FAN neighbouring tasks, dealt over all shuffle partitions, then what is left of it, so that no task reads a share
+of all tables. The driver receives the summed table, whose size is fixed (8 MB), and the pooled sample of SAMPLE rows at most. Scoring is a
+map over rows with the fixed-size model; a very long text is pooled in one go, at 128 bytes a token.
 
 Defined results: null, empty and blank texts are scored from a zero vector; with no usable labels, or with one kind only, the
 score is the share of label 1 (0.5 without any); null ids are not held out; an empty table gives an empty result; other columns are ignored.
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ DIMENSIONS = 32
 ENTRIES = 4
 WINDOW = 2
 SLICE = 512
+#: Tasks whose tables are added up in the first round.
+FAN = 256
 #: The most labelled rows that the network is fitted on.
 SAMPLE = 20_000
 HIDDEN = 32
@@ -102,21 +106,26 @@ def _corpus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sliced(table: np.ndarray) -> Iterator[pa.RecordBatch]:
     parts = table.astype(np.int64).reshape(BUCKETS // SLICE, -1)
     used = np.flatnonzero(parts.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["part", "sums"])
+    fan = pa.array(np.full(len(used), TaskContext.get().partitionId() // FAN), pa.int32())
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), fan, pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["part", "fan", "sums"])
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
+    total: dict[tuple[int, int], np.ndarray] = {}
     for b in batches:
-        for part, sums in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        for part, fan, sums in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             x = np.frombuffer(sums.as_py(), np.int64)
-            total[part] = total[part] + x if part in total else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "sums"])
+            total[part, fan] = total[part, fan] + x if (part, fan) in total else x
+    # The second round adds up what is left of a slice.
+    cols = [pa.array([k[i] for k in total], pa.int32()) for i in (0, 1)]
+    yield pa.RecordBatch.from_arrays([*cols, pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "fan", "sums"])
 
 
 def word_vectors(docs: DataFrame, text_col: str) -> np.ndarray:
     """BUCKETS x DIMENSIONS unit vectors, each times the weight of its bucket, learned over all texts."""
-    sums = docs.select(F.col(text_col)).mapInArrow(_corpus, "part int, sums binary").repartition(16, "part").mapInArrow(_added, "part int, sums binary")
+    kind = "part int, fan int, sums binary"
+    sums = docs.select(F.col(text_col)).mapInArrow(_corpus, kind).repartition("part", "fan").mapInArrow(_added, kind)
+    sums = sums.select("part", F.lit(0).alias("fan"), "sums").repartition("part").mapInArrow(_added, kind)
     table = np.zeros((BUCKETS // SLICE, SLICE * (DIMENSIONS + 1)))
     for r in sums.collect():  # of fixed size: one row for each slice of the table
         table[r.part] = np.frombuffer(r.sums, np.int64)
@@ -201,13 +210,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, label_col: str = "qual
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for b in batches:
-            x = [pooled(t.as_py(), vectors.value, codes).tolist() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float32())), b.column(2)], names=["id", "x", "label"])
+            x = [pooled(t.as_py(), vectors.value, codes).tolist() for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float32())), b.column(3)], names=["id", "key", "x", "label"])
 
     known = training_rows(docs, labels, label_col=label_col, id_col=id_col, text_col=text_col, most=sample)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = known.mapInArrow(features, f"id {kind}, x array<float>, label int").toArrow()  # at most `sample` pooled rows
-    rows = rows.sort_by("id")
+    rows = known.mapInArrow(features, f"id {kind}, key long, x array<float>, label int").toArrow()  # at most `sample` pooled rows
+    rows = rows.sort_by([("id", "ascending"), ("key", "ascending")])
     x = np.array(rows["x"].to_pylist(), np.float32).reshape(-1, 2 * DIMENSIONS + 2)
     net = context.broadcast(train(x, rows["label"].to_numpy()))
 

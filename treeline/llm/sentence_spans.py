@@ -1,22 +1,25 @@
 """Substring dedup over sliding spans of sentences.
 
-A text is cut into sentences after . ! ? (and closing marks), at line ends, and before a capitalised word that follows a lower-case
-one, where a passage may have been set into another sentence; of every WINDOW words without such a cut, the last of those with the least
-hash ends a sentence, too. A cut depends on the words of its own window only, so that equal passages are cut alike wherever they
-stand, and no WINDOW words are without one: any 3 * WINDOW + 1 words of a passage hold a complete span. From every sentence a span runs
-over the fewest consecutive sentences, MIN_SENTENCES at least, that hold MIN_WORDS words. Spans are hashed to 128 bits
-over their lower-cased words and joined over the whole corpus. All sentences that a span covers are removed wherever it isn't the
-first occurrence of that span; the first is the one in the row with the least id, and within a row the earliest.
+A text is cut into sentences after . ! ? (and closing marks) and at line ends. A second level cuts long sentences, so that a passage set
+into the middle of another sentence is found, too: of every WINDOW words of a sentence, the last of those with the least hash ends a
+piece. Such a cut depends on the words of its own window only, so that equal passages are cut alike wherever they stand, and no
+WINDOW words are without one: any 3 * WINDOW + 1 words of a passage hold a complete span. From every piece a span runs over the fewest
+consecutive pieces, MIN_SENTENCES at least, that hold MIN_WORDS words. Spans are hashed to 128 bits over their lower-cased words and
+joined over the whole corpus. The first occurrence of a span is the one in the row with the least id (of rows that share it, the one
+with the least hash of its text), and within a row the earliest; what spans cover elsewhere is repeated. Neighbouring repeated pieces are removed
+if they hold min_run words together or make up the whole text, so that a clean document keeps a sentence or two that others happen to have.
 
 Scale: spans are computed once and written to the shared folder as (row, hash, place). Counting the rows of a hash is a grouping with
 partial sums; the repeated hashes are joined back by a sort-merge join whose both sides are shuffled, so that adaptive execution splits
-the partition of a passage that very many rows share. What a row loses is gathered by row, bounded by the row's own length. No row meets
+the partition of a passage that very many rows share. What a row loses is gathered by row, bounded by the row's own length, and written
+down, so that its size is known when it meets the texts: below the session's threshold it is broadcast and no text is shuffled. No row meets
 all others of its group.
 
-Defined results: null and empty texts pass unchanged; texts with fewer words than MIN_WORDS or fewer sentences than MIN_SENTENCES form
+Defined results: null and empty texts pass unchanged; texts with fewer words than MIN_WORDS or fewer pieces than MIN_SENTENCES form
 one span over the whole text (so that short copies are found, too) unless they have fewer than SHORT words; rows that repeat an id and a
-text are one row and both are kept; null ids come after all others, ordered by a hash of the text; an empty table gives an
-empty result.
+text are one row and both are kept; ids that aren't whole numbers are ordered by their hash; null ids come after all others, ordered by
+a hash of the text; a very long text costs its length; an input column named n_sentences or n_removed gives way; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +30,9 @@ from itertools import pairwise
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from treeline.llm.common import durable, with_small_batches
 
@@ -37,12 +41,13 @@ MIN_WORDS = 15
 SHORT = 8
 #: No so many words are without a cut.
 WINDOW = 16
+#: Words that neighbouring repeated pieces hold at least where they are removed.
+MIN_RUN = 35
 
 #: Spans and rows that a worker holds before it hands them on.
 BATCH_SPANS, BATCH_ROWS = 20_000, 500
 
-SENTENCE = re.compile(r".*?(?:[.!?]+[\"'”’»)\]]*\s+|\n\s*|(?<=[a-zß-ÿ,])\s+(?=[A-ZÀ-Þ][a-zß-ÿ\s])|\Z)", re.S)
-
+SENTENCE = re.compile(r".*?(?:[.!?]+[\"'”’»)\]]*\s+|\n\s*|\Z)", re.S)
 
 PART = re.compile(r"\s*\S+\s*")
 
@@ -65,7 +70,7 @@ def chosen(h: list[int]) -> list[int]:
 
 
 def sentences(text: str) -> list[str]:
-    """The sentences with the white space that follows them; joined, they are the text."""
+    """The sentences, long ones in pieces, with the white space that follows them; joined, they are the text."""
     out = []
     for s in SENTENCE.findall(text):
         if not s:
@@ -128,16 +133,23 @@ def _batch(cols: list[list], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
-def removed(text: str, lost: list[tuple[int, int]]) -> tuple[str, int, int]:
+def removed(text: str, lost: list[tuple[int, int]], min_run: int = MIN_RUN) -> tuple[str, int, int]:
     """The text without the lost sentences, how many it had and how many went."""
     cut = sentences(text)
     gone = bytearray(len(cut))
     for at, n in lost:
         gone[at : at + n] = b"\x01" * n
+    start = gone.find(1)
+    while start >= 0:
+        end = gone.find(0, start)
+        end = len(cut) if end < 0 else end
+        if end - start < len(cut) and sum(len(s.split()) for s in cut[start:end]) < min_run:
+            gone[start:end] = bytes(end - start)
+        start = gone.find(1, end)
     return "".join(s for s, g in zip(cut, gone, strict=True) if not g), len(cut), sum(gone)
 
 
-def _cleaner(at: int):
+def _cleaner(at: int, min_run: int):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, BATCH_ROWS):
@@ -148,7 +160,7 @@ def _cleaner(at: int):
         for t, lost in zip(b.column(at), b.column(b.num_columns - 1), strict=True):
             t, lost = t.as_py(), lost.as_py()
             if lost:
-                t, h, w = removed(t, [(x["at"], x["n"]) for x in lost])
+                t, h, w = removed(t, [(x["at"], x["n"]) for x in lost], min_run)
             else:
                 h, w = len(sentences(t or "")), 0
             texts.append(t)
@@ -160,10 +172,16 @@ def _cleaner(at: int):
     return clean
 
 
+def row_order(docs: DataFrame, id_col: str, key: Column) -> Column:
+    """A row's place among others, as a long: its id or, where ids aren't whole numbers, their hash; null ids come last by their text."""
+    own = F.col(id_col).cast("long") if isinstance(docs.schema[id_col].dataType, IntegralType) else F.shiftrightunsigned(F.xxhash64(id_col), 2)
+    return F.coalesce(F.when(F.col(id_col).isNotNull(), own), F.lit(2**62) + F.shiftrightunsigned(key, 2))
+
+
 def lost_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, key, lost): for each row that loses something, the spans (at, n) that aren't first occurrences."""
     key = F.xxhash64(F.col(text_col))
-    row = F.coalesce(F.col(id_col).cast("long"), F.lit(2**62) + F.shiftrightunsigned(key, 2))
+    row = row_order(docs, id_col, key)
     found = durable(docs.select(row.alias("row"), key.alias("key"), F.col(text_col).alias("text")).mapInArrow(_spans, "row long, key long, h1 long, h2 long, at int, n int, again boolean"))
     # at and n in one number, for smaller shuffles.
     place = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("place")
@@ -178,17 +196,17 @@ def lost_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     here = found.filter("again").select("row", "key", place)
     lost = joined.filter("later").select("row", "key", "place").union(tied.select("row", "key", "place")).union(here)
     where = F.struct(F.shiftright("place", 32).cast("int").alias("at"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n"))
-    return lost.groupBy("row", "key").agg(F.collect_set(where).alias("lost"))
+    return durable(lost.groupBy("row", "key").agg(F.collect_set(where).alias("lost")))
 
 
-def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns with the repeated sentences cut from the text, and n_sentences and n_removed."""
+def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+    """All rows and columns with the repeated sentences cut from the text, and n_sentences and n_removed (pieces of long ones count)."""
     added = ("n_sentences", "n_removed")
     kept = [c for c in docs.columns if c.lower() not in added]
     rows = with_small_batches(docs).select(*[F.col(f"`{c}`") for c in kept])
     key = F.xxhash64(F.col(text_col))
-    rows = rows.withColumn("__key", key).withColumn("__row", F.coalesce(F.col(id_col).cast("long"), F.lit(2**62) + F.shiftrightunsigned("__key", 2)))
+    rows = rows.withColumn("__key", key).withColumn("__row", row_order(docs, id_col, F.col("__key")))
     lost = lost_spans(docs, id_col, text_col).select(F.col("row").alias("__lost_row"), F.col("key").alias("__lost_key"), F.col("lost").alias("__lost"))
     whole = rows.join(lost, (F.col("__row") == F.col("__lost_row")) & (F.col("__key") == F.col("__lost_key")), "left").select(*[F.col(f"`{c}`") for c in kept], "__lost")
     schema = whole.drop("__lost").schema.add("n_sentences", "integer").add("n_removed", "integer")
-    return whole.mapInArrow(_cleaner(kept.index(text_col)), schema)
+    return whole.mapInArrow(_cleaner(kept.index(text_col), min_run), schema)

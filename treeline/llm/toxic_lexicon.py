@@ -9,8 +9,10 @@ the word before or after it, where labelled clean documents hold the pair and to
 A document's strength is the sum of its finds' weights per hundred words, and a logistic curve of its logarithm, fitted on the same rows, gives
 the score.
 
-Scale: the labelled sample is bounded by SAMPLE; its counts are made on the executors and only entries that pass the thresholds, at most
-ENTRIES of them, reach the driver. Scoring is a map over rows with an automaton built once for each task.
+Scale: the labelled sample is bounded by SAMPLE rows, whatever the tables hold; its counts are made on the executors. All entries and
+exceptions that pass the thresholds make the lexicon and reach the driver: as each stands in LEAST sampled texts at least, their number is
+bounded by the sample's words, not by the corpus. Scoring is a map over rows with an automaton built once for each task; a very long text
+costs its length times the logarithm of its finds.
 
 Defined results: null, empty and blank texts have no finds and get the base score; without usable labels the lexicon is empty and every
 row gets one score below the threshold; null ids are not held out; an empty table gives an empty result; other columns are ignored.
@@ -34,7 +36,6 @@ from treeline.llm.labelled import held_out, training_rows
 
 #: The most labelled rows that the lexicon is learned from.
 SAMPLE = 20_000
-ENTRIES = 5_000
 LEAST = 5
 MIN_WEIGHT = 4.0
 BEGINNINGS = range(4, 13)
@@ -84,18 +85,26 @@ class Lexicon:
 
 
 def finds(text: str, a: ahocorasick.Automaton | None) -> list[tuple[int, int, float]]:
-    """(start, end, weight) of the finds in folded text outside exception phrases; of finds at one place the weightiest."""
+    """(start, end, weight) of the finds in folded text outside exception phrases, by start; of finds at one place the weightiest, of equal ones the shortest."""
     if a is None:
         return []
     best: dict[int, tuple[int, float]] = {}
-    excused = []
+    reach: dict[int, int] = {}  # the farthest end of the exception phrases from each start
     for end, (n, w) in a.iter(text):
         start = end + 1 - n
         if not w:
-            excused.append((start, end + 1))
+            reach[start] = end + 1  # ends come in increasing order
         elif start not in best or best[start][1] < w:
             best[start] = (end + 1, w)
-    return [(s, e, w) for s, (e, w) in best.items() if not any(x <= s and e <= y for x, y in excused)]
+    if not reach:
+        return [(s, e, w) for s, (e, w) in sorted(best.items())]
+    # One sweep over the places: an exception phrase that began before a find and reaches its end excuses it.
+    out, far = [], 0
+    for s in sorted(best.keys() | reach.keys()):
+        far = max(far, reach.get(s, 0))
+        if s in best and far < best[s][0]:
+            out.append((s, *best[s]))
+    return out
 
 
 def strength(text: str | None, a: ahocorasick.Automaton | None) -> float:
@@ -134,7 +143,7 @@ def chosen(counts: list[tuple[str, int, int]], clean: int, toxic: int) -> dict[s
     begins = {e for e in strong if not e.endswith(" ") and whole.get(e, 0) < ONE_WORD * known[e]}
     covered = lambda e: any(e[: k + 1] in begins for k in BEGINNINGS if k + 1 < len(e.rstrip()) + (e.endswith(" ")))
     kept = {e for e in strong if (e in begins or e.endswith(" ")) and not covered(e)}
-    return {e: weight[e] for e in sorted(kept, key=lambda e: (-known[e], e))[:ENTRIES]}
+    return {e: weight[e] for e in sorted(kept)}
 
 
 def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -149,7 +158,7 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str, text_col: str, sample: int = SAMPLE) -> Lexicon:
-    known = durable(training_rows(docs, labels, label_col=label_col, id_col=id_col, text_col=text_col, most=sample))
+    known = durable(training_rows(docs, labels, label_col=label_col, id_col=id_col, text_col=text_col, most=sample).select("id", "text", "label"))
     kind = docs.schema[id_col].dataType.simpleString()
     n = dict(known.groupBy("label").count().collect())
     clean, toxic = n.get(0, 0), n.get(1, 0)
@@ -157,9 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str, te
         return Lexicon(curve=(-3.0 if not toxic else 3.0, 0.0))
     counts = known.mapInArrow(_counts, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     strong = counts.filter((F.col("toxic") >= LEAST) & (F.ln((F.col("toxic") + 0.5) / (toxic + 1)) - F.ln((F.col("clean") + 0.5) / (clean + 1)) >= MIN_WEIGHT))
-    # Bounded: the strongest entries by their number of toxic documents.
-    rows = strong.orderBy(F.desc("toxic"), "entry").limit(20 * ENTRIES).collect()
-    lexicon = Lexicon(chosen([tuple(r) for r in rows], clean, toxic))
+    lexicon = Lexicon(chosen([tuple(r) for r in strong.collect()], clean, toxic))
 
     def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = lexicon.automaton()
@@ -176,8 +183,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str, te
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], pa.string()), pa.array([y for _, y in pairs], pa.int32())], names=["pair", "label"])
 
     pairs = known.mapInArrow(sifted, "pair string, label int").groupBy("pair").agg(F.sum(F.col("label")).alias("toxic"), F.count(F.lit(1)).alias("n"))
-    excused = pairs.filter((F.col("n") - F.col("toxic") >= 3) & (10 * F.col("toxic") <= F.col("n"))).orderBy(F.desc("n"), "pair").limit(ENTRIES).collect()
-    lexicon.exceptions = tuple(r.pair for r in excused)
+    excused = pairs.filter((F.col("n") - F.col("toxic") >= 3) & (10 * F.col("toxic") <= F.col("n"))).collect()
+    lexicon.exceptions = tuple(sorted(r.pair for r in excused))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = lexicon.automaton()
@@ -185,6 +192,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str, te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([strength(t.as_py(), a) for t in b.column(1)], pa.float64()), b.column(2)], names=["id", "x", "label"])
 
     rows = known.mapInArrow(measured, f"id {kind}, x double, label int").toArrow()  # at most `sample` numbers
+    rows = rows.sort_by([("id", "ascending"), ("x", "ascending"), ("label", "ascending")])  # the same sums whenever it is done again
     lexicon.curve = curve(rows["x"].to_numpy(), rows["label"].to_numpy().astype(float))
     return lexicon
 
