@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_near_copies import exact
-from treeline.llm import queries, sentence_spans
+from treeline.llm import near_copies, queries, sentence_spans
 from treeline.llm import simhash_bk as bk
 from treeline.llm.license_align import TEMPLATES, align, increasing, scan_licenses
 from treeline.llm.quality_net import quality_scores, train
@@ -141,9 +141,9 @@ def cloud(n, seed=3):
     return list(dict.fromkeys(out))
 
 
-@pytest.mark.parametrize("most", [10_000, 8])
+@pytest.mark.parametrize("most", [10_000, 60, 8])
 def test_links_connect_as_all_pairs_do(spark, monkeypatch, most):
-    """Also with shards cut into parts."""
+    """Also with shards dealt again, and with dense ones cut into parts."""
     values = cloud(300)
     df = spark.createDataFrame([(bk.signed(v),) for v in values], "fp long")
     roots = {r.node: r.root for r in bk.components(bk.links(df, len(values), most)).collect()}
@@ -161,6 +161,26 @@ def test_near_duplicates_against_all_pairs(docs):
     assert got == {r.doc_id: (f"{reference_print(r.text):016x}", rows[c].doc_id) for r, c in zip(rows, want, strict=True)}
 
 
+def test_components_of_paths_and_stars(spark):
+    rng = random.Random(12)
+    nodes = rng.sample(range(-(10**9), 10**9), 400)
+    edges = [(nodes[i], nodes[i + 1]) for i in range(99)] + [(nodes[100], nodes[i]) for i in range(101, 300)] + [(nodes[300 + i % 7], nodes[310 + i]) for i in range(80)]
+    df = spark.createDataFrame([(max(e), min(e)) for e in edges], "u long, v long")
+    got = {r.node: r.root for r in bk.components(df).collect()}
+    groups = [nodes[:100], nodes[100:300], *([nodes[300 + k], *(nodes[310 + i] for i in range(80) if i % 7 == k)] for k in range(7))]
+    assert got == {x: min(g) for g in groups for x in g if x != min(g)}
+
+
+def test_rows_that_agree_in_id_and_text(spark):
+    """One of them stays, whatever else they hold, and a row of another id is never kept in its place."""
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (None, "q r s t u v", "x"), (None, "q r s t u v", "x"), (2, "a b c d e f", "z")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for keep in (bk.keep_one, near_copies.keep_one):
+        got = sorted(map(repr, (tuple(r) for r in keep(df).collect())))
+        assert got == sorted(map(repr, (tuple(r) for r in keep(df.repartition(5)).collect())))
+        assert len(got) == 2 and got[0].startswith("(1,") and "q r s" in got[1]
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     out = bk.near_duplicates(odd).collect()
     assert len(out) == odd.count() and {r.component_id for r in out if r.fingerprint == "0" * 16} == {0}
