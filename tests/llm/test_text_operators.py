@@ -15,7 +15,7 @@ import corpus_pipeline
 from test_near_copies import exact
 from treeline.llm import near_copies, queries, sentence_spans
 from treeline.llm import simhash_bk as bk
-from treeline.llm.license_align import TEMPLATES, align, increasing, scan_licenses
+from treeline.llm.license_align import align, increasing
 from treeline.llm.quality_net import quality_scores, train
 from treeline.llm.sentence_spans import dedup_substrings, sentences, spans
 from treeline.llm.sentencepiece_wfst import MODEL, encode_documents, load
@@ -50,19 +50,6 @@ def test_alignment_is_common_and_increasing():
     assert align("a x b y c".split(), "a b c".split()) == [(0, 0), (2, 1), (4, 2)]
 
 
-def test_licenses(spark, odd, empty):
-    filler = " ".join(f"filler{i}" for i in range(300))
-    texts = [f"{filler}\n{t}\n{filler}" for t in TEMPLATES.values()] + ["Licensed under the Apache Licence, Version 2.0 " + filler, filler, None]
-    got = scan_licenses(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], SCHEMA)).orderBy("doc_id").collect()
-    for r, name in zip(got, TEMPLATES, strict=False):
-        assert r.coverage == 1.0 and name in [m.license for m in r.matches]
-    assert got[-3].license == "Apache-2.0" and 0.8 <= got[-3].coverage < 1
-    assert got[-2].license is None and got[-1].license is None
-    twice = f"Released under the MIT License. {filler} Released under the MIT License."
-    assert len(scan_licenses(spark.createDataFrame([(0, twice, "s")], SCHEMA)).first().matches) == 2
-    assert scan_licenses(odd).filter("license IS NOT NULL").count() == 0 and scan_licenses(odd).count() == odd.count() and scan_licenses(empty).count() == 0
-
-
 # Learned scores
 
 
