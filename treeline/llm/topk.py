@@ -1,114 +1,211 @@
 """Exact top-k by inner product with the no-random-access algorithm over sorted lists.
 
-Queries and candidates are dealt by a hash of their id into blocks of bounded size, and each pair of blocks is a task of its
-own. In a pair of blocks every component has a sorted list of the candidates' values, read from the top by queries with a
-positive weight there and from the bottom by queries with a negative one. After each round of reading, a candidate's score lies between what
-has been read plus the worst that its unread lists can add, and the same plus the values at which those lists have been
-left. A query stops when no candidate outside its best few, nor one not seen at all, can reach its k-th best lower bound. Those left
-are resolved to final scores. A round is a few matrix products over all queries of the block that are still open.
-
-All numbers are whole: sums below 2**24 are exact in single precision, others are done in double precision.
-
-Scale: the work is queries x candidates, as an exact search over a stated query set is; every task has at most
-QUERY_BLOCK x CANDIDATE_BLOCK pairs in hand, and k rows for each query leave it.
-
-Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do rows with a null id; a
+Queries are dealt by a hash into blocks of at most QUERY_NUMBERS numbers; a block is sent to the candidates, which stay where they lie. A
+task sorts the candidates that it reads, BLOCK at a time, into one list for each component. A query reads those lists in order, from the
+top where its own component is positive and from the bottom where it is negative: in every round a stretch, twice as long as before, of the
+lists that can still change scores most (the product of weight and of what is left of the list's range). It only touches candidates that
+a list has shown. Such a candidate's score lies between what has been read plus the least that its unread lists can add, and the same
+plus the values at which those lists have been left. The k-th best lower bound, or the k-th best score of earlier blocks where that is higher,
+is what an outsider has to reach. When no unseen candidate can, reading stops as soon as the candidates that still can are few, or looking them
+up costs no more than the next stretch; their final scores are then resolved. `depth` is the part of the lists that has been read.
+
+On spread-out vectors of many components bounds are loose and lists are read to over half, more than a matrix product would cost; skewed
+vectors, with few large components, stop early.
+
+Scale: the work is queries x candidates at worst, as an exact search over a stated query set is. Neither side is copied for each block
+of the other: candidates are read once for each block of queries and never shuffled; each task hands on k rows for each query.
+
+Numbers are whole: pairs whose scores might pass 62 bits are multiplied as Python's integers, and a score beyond a long counts as the
+nearest long. Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do rows with a null id; a
 missing component counts as 0; identical rows count once; candidates never include rows with the query's own id; with fewer than k
-candidates all are returned; ties go to the smaller id.
+candidates all are returned; ties go to the smaller id; an empty table, or one without queries, gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 512
-CANDIDATE_BLOCK = 8_192
-#: Parts of the lists that have been read after each round.
-ROUNDS = (0.125, 0.25, 0.5, 1.0)
-LEFT = 64
-
-
-def whole_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, values): floor(scale * x) of every valid vector, identical rows once."""
-    v = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).filter(F.col("id").isNotNull() & (F.size("v") > 0))
-    valid = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    v = v.filter(valid)
-    return v.select(F.col("id").cast("long").alias("id"), F.transform("v", lambda x: F.floor(scale * x.cast("double")).cast("long")).alias("v")).distinct()
-
-
-def nra(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, rounds: tuple[float, ...] = ROUNDS) -> list[tuple[int, int, int]]:
-    """(query id, row id, score): each query's k best rows, rows with its own id left out, by reading sorted lists in rounds."""
-    n, d = rows.shape
-    bound = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * d
-    kind = np.float32 if 4 * bound < 2**24 else np.float64
-    order = np.argsort(rows, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-    sorted_rows = np.take_along_axis(rows, order, axis=0).astype(kind)
-    x, q = rows.astype(kind), queries.astype(kind)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)  # lists read from the top, and from the bottom
-    worst = up * sorted_rows[0] + down * sorted_rows[-1]
-    own = query_ids[:, None] == row_ids[None, :]
-    open_ = np.arange(len(q))
-    found: list[tuple[int, int, int]] = []
-    for part in rounds:
-        depth = max(1, int(n * part)) if part < 1 else n
-        top, low = rank >= n - depth, rank < depth
-        at_top, at_low = sorted_rows[n - depth], sorted_rows[depth - 1]
-        u, w = up[open_], down[open_]
-        read = u @ (x * top).T + w @ (x * low).T
-        left = u * at_top + w * at_low
-        high = read + left.sum(axis=1)[:, None] - (u * at_top) @ top.T.astype(kind) - (w * at_low) @ low.T.astype(kind)
-        least = worst[open_]
-        sure = read + least.sum(axis=1)[:, None] - (u * sorted_rows[0]) @ top.T.astype(kind) - (w * sorted_rows[-1]) @ low.T.astype(kind)
-        mine = own[open_]
-        sure[mine] = high[mine] = -np.inf
-        kth = np.partition(sure, n - k, axis=1)[:, n - k] if n >= k else np.full(len(open_), -np.inf)
-        may = (high >= kth[:, None]) & ~mine
-        unseen_out = left.sum(axis=1) < kth  # nothing that no list has shown can qualify
-        done = (may.sum(axis=1) <= max(LEFT, k)) & unseen_out if part < 1 else np.ones(len(open_), bool)
-        for i in np.flatnonzero(done):
-            c = np.flatnonzero(may[i])
-            score = rows[c] @ queries[open_[i]]
-            best = np.lexsort((row_ids[c], -score))[:k]
-            found += [(int(query_ids[open_[i]]), int(row_ids[c[j]]), int(score[j])) for j in best]
-        open_ = open_[~done]
-        if not len(open_):
-            break
-    return found
-
-
-def _matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
-    lists = column.combine_chunks()
+from treeline.llm.common import durable, with_small_batches
+
+#: Numbers of the queries that are sent to all tasks at once: 32 MB.
+QUERY_NUMBERS = 4 << 20
+#: Candidates whose lists are sorted together.
+BLOCK = 8_192
+#: The first stretch of a list; candidates that are looked up whatever the next stretch costs.
+FIRST, FEW = 16, 32
+#: A round reads the lists that hold this part of what can still change scores.
+PART = 0.75
+LARGE, HIGH = 1 << 62, (1 << 63) - 1
+
+
+def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, v, h) of every row that takes part; h tells rows of one id apart."""
+    v = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
+    v = v.filter(F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
+    return v.select("id", "v", F.xxhash64("id", "v").alias("h"))
+
+
+def matrix(lists: pa.ListArray, width: int, scale: int) -> np.ndarray:
+    """floor(scale x) of every component, as whole doubles; missing ones are 0."""
     sizes = np.diff(lists.offsets.to_numpy())
-    flat = lists.flatten().to_numpy()
-    if (sizes == d).all():
-        return flat.reshape(-1, d)
-    out = np.zeros((len(sizes), d), np.int64)
+    flat = np.floor(scale * lists.flatten().to_numpy())
+    out = np.zeros((len(sizes), max(width, int(sizes.max(initial=0)))))
     out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     return out
 
 
+class Lists:
+    """Candidates (ids, hashes, whole numbers in rows) with one sorted list for each component."""
+
+    def __init__(self, ids: np.ndarray, hashes: np.ndarray, rows: np.ndarray):
+        self.ids, self.hashes, self.rows = ids, hashes, rows
+        self.order = np.ascontiguousarray(np.argsort(rows, axis=0, kind="stable").T)
+        self.values = np.ascontiguousarray(np.take_along_axis(rows.T, self.order, axis=1))
+
+    def search(self, query: np.ndarray, own: int, k: int, floor: int = -LARGE) -> tuple[np.ndarray, np.ndarray, float]:
+        """(places, scores, depth): all candidates that may be among the k best at or above the floor; a few more may come with them."""
+        n = len(self.rows)
+        dims = np.flatnonzero(query)
+        weights = query[dims]
+        fits = self.ids != own
+        if not len(dims) or n <= max(k, FEW):
+            places = np.flatnonzero(fits)
+            return places, self.rows[places] @ query, 0.0
+        up = weights > 0
+        worst = weights * np.where(up, self.values[dims, 0], self.values[dims, -1])
+        edge = weights * np.where(up, self.values[dims, -1], self.values[dims, 0])  # where each list has been left
+        at = np.zeros(len(dims), np.int64)
+        stretch = np.full(len(dims), FIRST)
+        read, read_worst, read_edge = (np.zeros(n, np.int64) for _ in range(3))
+        seen = np.zeros(n, bool)
+        to_reach, may = floor, np.zeros(0, np.int64)
+        while (slack := edge - worst).any():
+            chosen = np.argsort(-slack, kind="stable")
+            chosen = chosen[: 1 + int(np.searchsorted(np.cumsum(slack[chosen]), PART * slack.sum()))]
+            for i in chosen.tolist():
+                d, a, b = dims[i], int(at[i]), min(n, int(at[i] + stretch[i]))
+                order, values = (self.order[d][::-1], self.values[d][::-1]) if up[i] else (self.order[d], self.values[d])
+                new, last = order[a:b], weights[i] * values[b - 1]
+                read_edge[order[:a]] += last - edge[i]
+                read[new] += weights[i] * values[a:b]
+                read_worst[new] += worst[i]
+                read_edge[new] += last
+                seen[new] = True
+                at[i], edge[i], stretch[i] = b, last, 2 * stretch[i]
+            known = np.flatnonzero(seen & fits)
+            least = read[known] + (worst.sum() - read_worst[known])
+            most = read[known] + (edge.sum() - read_edge[known])
+            if len(known) >= k:
+                to_reach = max(floor, int(np.partition(least, len(least) - k)[len(least) - k]))
+            may = known[most >= to_reach]
+            if seen.all() or edge.sum() < to_reach:
+                if len(may) <= FEW + k or len(may) * len(dims) <= np.minimum(stretch, n - at)[chosen].sum():
+                    break
+        else:  # what is left of every list is one value, and an unseen candidate has it in all of them
+            if edge.sum() >= to_reach:
+                may = np.union1d(may, np.flatnonzero(~seen & fits))
+        return may, self.rows[may] @ query, float(at.sum()) / (n * len(dims))
+
+
+def best_of(ids: np.ndarray, hashes: np.ndarray, scores: list[int] | np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """The k best (score, id, hash), each once."""
+    found = sorted({(-int(s), int(i), int(h)) for s, i, h in zip(scores, ids, hashes, strict=True)})[:k]
+    return [(-s, i, h) for s, i, h in found]
+
+
+class Search:
+    """What a task knows of each query: its k best so far, and how far lists have been read."""
+
+    def __init__(self, ids: np.ndarray, hashes: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.hashes, self.queries, self.k = ids, hashes, queries, k
+        self.best: list[list[tuple[int, int, int]]] = [[] for _ in ids]
+        self.depth = np.zeros(len(ids))
+        self.blocks = 0
+        self.most = np.abs(queries).max(axis=1, initial=0)
+
+    def add(self, ids: np.ndarray, hashes: np.ndarray, rows: np.ndarray) -> None:
+        _, single = np.unique(np.stack([ids, hashes], axis=1), axis=0, return_index=True)
+        ids, hashes, rows = ids[single], hashes[single], rows[single]
+        width = max(rows.shape[1], self.queries.shape[1])
+        rows = np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
+        if self.queries.shape[1] < width:
+            self.queries = np.pad(self.queries, ((0, 0), (0, width - self.queries.shape[1])))
+        most = np.abs(rows).max(axis=1, initial=0)
+        # Of rows whose sums might pass 62 bits with some query, or of such queries, every score is made of Python's integers.
+        usual = self.most < 2.0**26
+        plain = most * max(1.0, float(self.most[usual].max(initial=0))) * width < LARGE
+        lists = Lists(ids[plain], hashes[plain], rows[plain].astype(np.int64)) if plain.any() else None
+        self.blocks += 1
+        for q in range(len(self.ids)):
+            got, own = self.best[q], int(self.ids[q])
+            if usual[q] and lists:
+                floor = max(-LARGE, min(LARGE, got[-1][0])) if len(got) == self.k else -LARGE
+                may, scores, depth = lists.search(self.queries[q].astype(np.int64), own, self.k, floor)
+                got = got + best_of(lists.ids[may], lists.hashes[may], scores, self.k)
+                self.depth[q] += depth
+            others = np.flatnonzero((~plain if usual[q] else np.ones(len(ids), bool)) & (ids != own))
+            if len(others):
+                query = [int(x) for x in self.queries[q]]
+                scores = [min(HIGH, max(-HIGH - 1, sum(a * int(b) for a, b in zip(query, rows[c], strict=True) if a))) for c in others]
+                got = got + best_of(ids[others], hashes[others], scores, self.k)
+            self.best[q] = [(-s, i, h) for s, i, h in sorted({(-s, i, h) for s, i, h in got})[: self.k]]
+
+    def result(self) -> pa.RecordBatch:
+        rows = [(int(self.ids[q]), int(self.hashes[q]), i, h, s, float(self.depth[q] / max(1, self.blocks))) for q in range(len(self.ids)) for s, i, h in self.best[q]]
+        kinds = [pa.int64()] * 5 + [pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["query_id", "qh", "id", "h", "score", "depth"])
+
+
+def blocks_of(queries: DataFrame, numbers: int) -> list[DataFrame]:
+    """The queries in blocks of at most so many numbers (a single longer vector is a block of its own)."""
+    total = queries.agg(F.sum(F.size("v").cast("long"))).first()[0] or 0
+    cuts = -(-2 * total // numbers) if total > numbers else 1
+    while True:
+        dealt = queries.withColumn("block", F.pmod(F.xxhash64("h"), F.lit(cuts)))
+        sizes = dealt.groupBy("block").agg(F.sum(F.size("v").cast("long")).alias("n"), F.count(F.lit(1)).alias("c"))
+        if not sizes.filter((F.col("n") > numbers) & (F.col("c") > 1)).take(1):
+            return [dealt.filter(F.col("block") == b).select("id", "v", "h") for b in range(cuts)]
+        cuts *= 2
+
+
 def exact_top_k(df: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: int = 256) -> DataFrame:
-    """(query_id, rank, id, score) for the rows of df where is_query holds, against all others."""
-    vectors = whole_vectors(df, id_col, vector_col, scale)
-    asked = whole_vectors(df.filter(is_query), id_col, vector_col, scale)
-    n, m = df.count(), df.filter(is_query).count()
-    c_blocks, q_blocks = -(-max(n, 1) // CANDIDATE_BLOCK), -(-max(m, 1) // QUERY_BLOCK)
-    c = vectors.withColumn("cb", F.pmod(F.xxhash64("id", "v"), F.lit(c_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    q = asked.withColumn("qb", F.pmod(F.xxhash64("id", "v"), F.lit(q_blocks)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-
-    def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        d = max(int(np.diff(t["v"].combine_chunks().offsets.to_numpy()).max()) for t in (left, right))
-        got = nra(_matrix(left["v"], d), left["id"].to_numpy(), _matrix(right["v"], d), right["id"].to_numpy(), k)
-        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in zip(*got, strict=True)] if got else [pa.array([], pa.int64())] * 3, schema=schema)
-
-    part = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(one, "query_id long, id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return part.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    """(query_id, rank, id, score, depth) for the rows of df where is_query holds, against all others."""
+    context = df.sparkSession.sparkContext
+    candidates = valid_vectors(with_small_batches(df), id_col, vector_col)
+    queries = durable(valid_vectors(df.filter(is_query), id_col, vector_col).distinct())
+    parts = None
+    for block in blocks_of(queries, QUERY_NUMBERS):
+        asked = block.toArrow()
+        numbers = matrix(asked["v"].combine_chunks(), 1, scale)
+        sent = context.broadcast((asked["id"].to_numpy(), asked["h"].to_numpy(), numbers))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            search = Search(*sent.value, k)
+            held: list[pa.RecordBatch] = []
+
+            def done() -> None:
+                t = pa.Table.from_batches(held)
+                search.add(t["id"].to_numpy(), t["h"].to_numpy(), matrix(t["v"].combine_chunks(), 1, scale))
+
+            for b in batches:
+                for first in range(0, b.num_rows, BLOCK):
+                    held.append(b.slice(first, BLOCK))
+                    if sum(x.num_rows for x in held) >= BLOCK:
+                        done()
+                        held = []
+            if held:
+                done()
+            yield search.result()
+
+        part = candidates.mapInArrow(run, "query_id long, qh long, id long, h long, score long, depth double")
+        parts = part if parts is None else parts.union(part)
+    deep = Window.partitionBy("query_id", "qh")
+    found = parts.withColumn("depth", F.max("depth").over(deep)).dropDuplicates(["query_id", "qh", "id", "h"])
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id", "h")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score", "depth")
