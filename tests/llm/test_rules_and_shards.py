@@ -7,7 +7,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +14,6 @@ from treeline.llm import queries, shard_tree
 from treeline.llm.line_rules import line_rules
 from treeline.llm.mixing import mix_sources, source_targets
 from treeline.llm.shard_tree import grown, leaves, shard_documents, tree
-from treeline.llm.topk import exact_top_k, nra
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, source string"
@@ -152,14 +150,58 @@ def test_targets_and_takes(spark):
     assert sum(taken.values()) <= 1.5 * sum(sizes.values())
 
 
-def test_cut_with_a_refined_histogram(spark, monkeypatch):
-    from treeline.llm import mixing
-
-    df = spark.createDataFrame([(i, "w " * (i % 13), f"s{i % 3}") for i in range(3000)], SCHEMA)
-    whole = {r.doc_id: r.taken for r in mix_sources(df).collect()}
-    monkeypatch.setattr(mixing, "FEW", 20)
-    monkeypatch.setattr(mixing, "BINS", 7)
-    assert whole == {r.doc_id: r.taken for r in mix_sources(df).collect()}
+def test_any_number_of_ranges_gives_the_same_cut(spark):
+    df = spark.createDataFrame([(i, "w " * (i % 13), f"s{i % 70}") for i in range(3000)], SCHEMA)
+    whole = {r.doc_id: (r.taken, r.target) for r in mix_sources(df).collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            assert whole == {r.doc_id: (r.taken, r.target) for r in mix_sources(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    total = sum(i % 13 for i in range(3000))
+    assert 1.5 * total - 24 <= sum(t for t, _ in whole.values()) <= 1.5 * total
+
+
+def test_clashing_names(spark, docs):
+    names = {c: F.lit("x") for c in ("taken", "target", "copies", "source_size", "size", "slot", "law", "shard", "grown_shard", "text_crc32", "n_words", "kept", "gone", "count")}
+    odd = docs.withColumns(names)
+    for f, c in ((lambda d: mix_sources(d, keep=()), "taken"), (shard_documents, "slot"), (line_rules, "n_removed_words")):
+        a, b = ({(r.doc_id, r[c]) for r in f(x).collect()} for x in (odd, docs))
+        assert a == b
+
+
+def test_shares_follow_weights(spark):
+    """A node's share of the documents is its part of the weights."""
+    root = shard_tree.group("root", [shard_tree.group("a", [shard_tree.group("ak", [shard_tree.leaf(0, 3.0), shard_tree.leaf(1, 1.0)])]), shard_tree.group("b", [shard_tree.group("bk", [shard_tree.leaf(2, 4.0)])])])
+    ids = spark.range(16_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    got = {r.shard: r["count"] for r in shard_documents(ids, root=root).groupBy("shard").count().collect()}
+    assert all(abs(got[s] - n) < 300 for s, n in ((0, 6000), (1, 2000), (2, 8000)))
+
+
+def test_a_changed_weight_moves_rows_only_into_its_subtrees(spark):
+    """With shard 2 of rack 1 in region 0 heavier, rows move only into a subtree that holds it, at every level; the rest stays."""
+
+    def build(w):
+        number = iter(range(12))
+        racks = lambda r: [shard_tree.group(f"r{r}k{k}", [shard_tree.leaf(i, w if i == 5 else 1.0) for i in (next(number) for _ in range(3))]) for k in range(2)]
+        return shard_tree.group("root", [shard_tree.group(f"r{r}", racks(r)) for r in range(2)])
+
+    ids = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    a, b = ({r.doc_id: r.shard for r in shard_documents(ids, root=build(w)).collect()} for w in (1.0, 3.0))
+    moved = [(a[i], b[i]) for i in a if a[i] != b[i]]
+    region, rack = lambda s: s // 6, lambda s: s // 3
+    assert moved and any(y == 5 for _, y in moved)
+    for x, y in moved:
+        if region(x) != region(y):
+            assert region(y) == 0  # the heavier region gains
+        elif rack(x) != rack(y):
+            assert rack(y) == 1  # within a region, the heavier rack
+        else:
+            assert y == 5  # within a rack, the heavier shard
 
 
 def test_mixing_odd_rows(odd):
@@ -167,34 +209,3 @@ def test_mixing_odd_rows(odd):
     assert out.count() == odd.count() and set(out.columns) == set(odd.columns) | {"source_size", "target", "copies", "taken"}
     assert all(r.taken == 0 for r in out.filter("size = 0").collect())
     assert source_targets(odd.select(F.col("source").alias("__source"), F.lit(0).alias("__size"))).filter("target <> 0").count() == 0
-
-
-def brute(v, qs, k):
-    out = []
-    for q in qs:
-        c = sorted((-sum(a * b for a, b in zip(v[q], v[x], strict=True)), x) for x in v if x != q)
-        out += [(q, n + 1, x, -s) for n, (s, x) in enumerate(c[:k])]
-    return out
-
-
-def test_top_k_against_brute_force(spark):
-    rng = np.random.default_rng(3)
-    v = {i: rng.normal(0, 0.3, 8).round(1).astype("float32") for i in range(400)}  # rounded: ties
-    rows = [(i, x.tolist()) for i, x in v.items()] + [(1000, None), (1050, [float("nan")] * 8), (1100, [None] * 8), (1150, []), (0, v[0].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = sorted((r.query_id, r["rank"], r.id, r.score) for r in exact_top_k(df, F.col("vec_id") % 50 == 0).collect())
-    whole = {i: np.floor(256 * x.astype("float64")).astype(int).tolist() for i, x in v.items()}
-    assert got == brute(whole, [i for i in v if i % 50 == 0], 5)
-
-
-def test_top_k_small_tables(spark):
-    df = spark.createDataFrame([(0, [1.0]), (50, [0.5])], "vec_id long, embedding array<float>")
-    assert [(r.query_id, r.id, r.score) for r in exact_top_k(df, F.col("vec_id") % 50 == 0).orderBy("query_id").collect()] == [(0, 50, 32768), (50, 0, 32768)]
-    assert exact_top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
-
-
-def test_reading_in_rounds_gives_the_same_as_reading_all():
-    rng = np.random.default_rng(4)
-    x, q = rng.integers(-90, 90, (700, 16)), rng.integers(-90, 90, (20, 16))
-    ids = np.arange(700)
-    assert sorted(nra(q, np.arange(20) + 5000, x, ids, 5)) == sorted(nra(q, np.arange(20) + 5000, x, ids, 5, rounds=(1.0,)))

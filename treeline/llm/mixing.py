@@ -8,12 +8,14 @@ its size and weight x t, with the t at which the targets sum to the budget.
 
 Scale: only (id, source, words, hash) leave the scan; they are written once. A source's running sum is taken in pieces of about
 PIECE rows, dealt by source and leading bits of the hash, on top of a table of piece sums, so a source with a third of all rows is
-spread over many tasks. The global cut is found by a histogram of finish times that is refined until the interval at the cut
-holds few documents; no task sorts the whole stream.
+spread over many tasks. The merged stream is sorted globally by ranges of finish time, each range in a task of its own; the sums of the
+ranges say in which of them the budget ends, and only that range is looked through for the place. Sources, of which there may be as many
+as hosts, are numbered and levelled in the same way, by ranges and sums of ranges. Only one row for each range of a sort, as many as there
+are shuffle partitions, reaches one task or the driver.
 
 Defined results: a null or blank text has size 0 and is never taken; a null source is a source of its own, last in order; null
 ids are ordered first; rows that agree in id, source and words are interchangeable; an empty table gives an empty result; an
-input column with the name of an output column gives way to it.
+input column with the name of an output column gives way to it; a very long text is counted whole, like any other.
 """
 
 from __future__ import annotations
@@ -27,27 +29,41 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 PASSES = 2
 PIECE = 1_000
-BINS = 2_000
-FEW = 50_000
 HASH_DIGITS = 15
 
 
-def source_targets(sizes: DataFrame, share: float = SHARE, passes: int = PASSES, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """From (source, words): rank, source_size, weight and target of each source.
+def ranges(df: DataFrame, *order: Column) -> DataFrame:
+    """The rows dealt into ranges of the order, written down, with their range as __range."""
+    return durable(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+
+
+def sums_before(df: DataFrame, order: tuple[Column, ...], columns: dict[str, str]) -> DataFrame:
+    """df with, as columns[c], the sum of each column c over all rows earlier in the order, which must tell rows apart."""
+    dealt = ranges(df, *order)
+    # One row for each range, so that one task and every task can hold them.
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("__range").agg(*[F.sum(c).alias(f"__sum_{c}") for c in columns])
+    starts = totals.select(F.col("__range").alias("__r"), *[F.coalesce(F.sum(f"__sum_{c}").over(earlier), F.lit(0)).alias(f"__from_{c}") for c in columns])
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = dealt.join(F.broadcast(starts), F.col("__range") == F.col("__r"))
+    for c, name in columns.items():
+        joined = joined.withColumn(name, F.col(f"__from_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)))
+    return joined.select(*df.columns, *columns.values())
 
-    Sources are sorted in one task by the ratio at which they run out; that task has one row for each source, not for each document.
-    """
-    by_name = Window.orderBy(F.col("__source").asc_nulls_last())
-    t = sizes.groupBy("__source").agg(F.sum("__size").alias("source_size")).withColumn("__rank", F.row_number().over(by_name))
+
+def source_targets(sizes: DataFrame, share: float = SHARE, passes: int = PASSES, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """From (source, words): rank, source_size, weight and target of each source."""
+    t = sizes.groupBy("__source").agg(F.sum("__size").alias("source_size")).withColumn("__one", F.lit(1))
+    t = sums_before(t, (F.col("__source").asc_nulls_last(),), {"__one": "__before"}).withColumn("__rank", (F.col("__before") + 1).cast("int"))
     t = t.withColumn("__weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("__rank") - 1, F.lit(len(weights))) + 1))
     t = t.withColumn("__cap", (passes * F.col("source_size")).cast("double")).withColumn("__runs_out", F.col("__cap") / F.col("__weight"))
-    everything = Window.partitionBy(F.lit(0))
-    before = everything.orderBy("__runs_out", "__rank").rowsBetween(Window.unboundedPreceding, -1)
-    left = share * F.sum("source_size").over(everything) - F.coalesce(F.sum("__cap").over(before), F.lit(0.0))
-    t = t.withColumn("__t", left / (F.sum("__weight").over(everything) - F.coalesce(F.sum("__weight").over(before), F.lit(0.0))))
+    t = durable(sums_before(t, (F.col("__runs_out"), F.col("__rank")), {"__cap": "__caps", "__weight": "__weights"}))
+    size, weight, last = t.agg(F.sum("source_size"), F.sum("__weight"), F.max("__runs_out")).first()
     # Of the sources in order of running out, the first that does not run out fixes t for all that follow.
-    level = F.coalesce(F.min_by(F.when(F.col("__t") <= F.col("__runs_out"), F.col("__t")), F.when(F.col("__t") <= F.col("__runs_out"), F.struct("__runs_out", "__rank"))).over(everything), F.max("__runs_out").over(everything))
-    return t.withColumn("target", F.least(F.col("__cap"), F.col("__weight") * level)).select("__source", "__rank", "source_size", "__weight", "target")
+    t = t.withColumn("__t", (F.lit(share * (size or 0)) - F.col("__caps")) / (F.lit(weight or 1.0) - F.col("__weights")))
+    first = t.filter(F.col("__t") <= F.col("__runs_out")).agg(F.min(F.struct("__runs_out", "__rank", "__t")).alias("x")).first().x
+    level = first["__t"] if first else last or 0.0
+    return t.withColumn("target", F.least(F.col("__cap"), F.col("__weight") * F.lit(level))).select("__source", "__rank", "source_size", "__weight", "target")
 
 
 def finish_times(rows: DataFrame, targets: DataFrame) -> DataFrame:
@@ -65,34 +81,17 @@ def finish_times(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def cut(timed: DataFrame, budget: float, passes: int = PASSES) -> tuple[float, int] | None:
-    """The last (finish time, source rank) that the merged stream sends before it would pass the budget; None if it sends nothing.
-
-    Only a histogram of BINS rows, or at last FEW items, reach one task; the driver gets scalars.
-    """
+    """The last (finish time, source rank) that the merged stream sends before it would pass the budget; None if it sends nothing."""
     every = F.explode(F.transform(F.sequence(F.lit(0), F.lit(passes - 1)), lambda p: F.col("__finish") + p * F.col("__pass")))
-    items = timed.filter("__size > 0").select("__size", "__rank", every.alias("__at"))
-    low, spent = 0.0, 0
-    high, n = items.agg(F.max("__at"), F.count(F.lit(1))).first()
-    if not n:
-        return None
-    running = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
-    while n > FEW and high > low:
-        width = (high - low) / BINS
-        inside = items.filter((F.col("__at") >= low) & (F.col("__at") <= high))
-        bins = inside.groupBy(F.least(F.floor((F.col("__at") - low) / width), F.lit(BINS - 1)).alias("__bin")).agg(
-            F.sum("__size").alias("s"), F.count(F.lit(1)).alias("n"), F.min("__at").alias("lo"), F.max("__at").alias("hi")
-        )
-        bins = bins.withColumn("total", F.sum("s").over(running) + spent)
-        over = bins.filter(F.col("total") > budget).orderBy("__bin").first()
-        if over is None:
-            return (high, 2**31 - 1)
-        if over.n == n or (over.lo, over.hi) == (low, high):
-            break
-        low, high, n, spent = over.lo, over.hi, over.n, over.total - over.s
-    order = Window.orderBy("__at", "__rank").rowsBetween(Window.unboundedPreceding, 0)
-    last = items.filter((F.col("__at") >= low) & (F.col("__at") <= high)).withColumn("total", F.sum("__size").over(order) + spent).filter(F.col("total") <= budget)
-    sent = last.agg(F.max(F.struct("__at", "__rank")).alias("x")).first().x
-    return (sent["__at"], sent["__rank"]) if sent else ((low, 0) if spent else None)
+    stream = ranges(timed.filter("__size > 0").select("__size", "__rank", every.alias("__at")), F.col("__at"), F.col("__rank"))
+    spent, sent = 0, None
+    for r in stream.groupBy("__range").agg(F.sum("__size").alias("words"), F.max(F.struct("__at", "__rank")).alias("last")).orderBy("__range").collect():
+        if spent + r.words > budget:
+            inside = Window.partitionBy("__range").orderBy("__at", "__rank").rowsBetween(Window.unboundedPreceding, 0)
+            found = stream.filter(F.col("__range") == r["__range"]).withColumn("__total", F.sum("__size").over(inside) + spent)
+            return found.filter(F.col("__total") <= budget).agg(F.max(F.struct("__at", "__rank")).alias("x")).first().x or sent
+        spent, sent = spent + r.words, r.last
+    return sent
 
 
 def copies(sent: tuple[float, int] | None, passes: int = PASSES) -> Column:
