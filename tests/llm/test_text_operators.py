@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from array import array
 
 import pytest
 import sentencepiece
@@ -18,7 +19,7 @@ from treeline.llm import simhash_bk as bk
 from treeline.llm.license_align import align, increasing
 from treeline.llm.quality_net import quality_scores, train
 from treeline.llm.sentence_spans import dedup_substrings, sentences, spans
-from treeline.llm.sentencepiece_wfst import MODEL, encode_documents, load
+from treeline.llm.sentencepiece_wfst import META, MODEL, Normaliser, encode_documents, load
 from treeline.llm.toxic_lexicon import Lexicon, finds, folded, toxicity_scores
 
 SCHEMA = "doc_id long, text string, source string"
@@ -232,6 +233,25 @@ def test_encoding_of_odd_rows(odd, empty):
     assert encode_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("prefix", [True, False])
+def test_normaliser(prefix):
+    start = META if prefix else ""
+    for t in ["", " ", "   ", "a", " a", "a ", "  a   b  ", "a\t b\n  c", "x" * 50 + "  "]:
+        assert Normaliser(prefix, False).run(t) == (start + t.replace(" ", META) if t else "")
+        squeezed = re.sub(" +", " ", t.strip(" "))
+        assert Normaliser(prefix, True).run(t) == (start + squeezed.replace(" ", META) if squeezed else "")
+
+
+def test_paths_against_merging():
+    """The shortest path is what merging the whole text gives."""
+    t = load(MODEL)
+    rng = random.Random(5)
+    for _ in range(300):
+        x = META + "".join(rng.choice("aeinrst▁ohdl\u00e9\u4e00") for _ in range(rng.randint(1, 14)))
+        ids = [i for s in t.merged(list(x)) for i in t.written(t.ids.get(s, len(t.pieces)), s)]
+        assert t.chunk(x) == bytes(memoryview(array("i", ids)))
+
+
 # The pipeline
 
 

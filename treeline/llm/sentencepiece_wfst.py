@@ -1,17 +1,24 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer, over the model files of a public tokenizer.
 
-Three machines are compiled from the model file: a normaliser (blank to the meta symbol, a leading meta symbol, optional squeezing of
-blanks), a lexicon of pieces with a byte fallback for characters without a piece, and an acceptor of neighbouring pieces. The model
-is of the BPE kind: its encoding is not the path of best summed scores but the result of merging the best-scored
-neighbours first. Such an encoding is exactly the path in which every two neighbouring pieces would also be left apart if they stood
-alone, because no merge crosses a boundary that holds. So the acceptor gives a pair weight 0 if merging leaves it apart and infinity if
-not; it is expanded lazily and remembered. Composed with an input, one path has finite weight in the tropical semiring, and
-since the same is true of every prefix, the search for it, depth first, enters each position once at most.
+Three machines are compiled from the model file. The normaliser reads classes of characters (blank or not) and writes the meta symbol for a
+blank, one before the text, and one or none for further blanks of a run, as the model says. The lexicon maps characters to pieces: a trie
+whose arcs write a piece's id, and byte arcs, which write the ids of a character's bytes where the character is no piece. The acceptor weighs
+neighbouring pieces. The model is of the BPE kind: its encoding is not the path of best summed scores but the result of merging
+the best-scored neighbours first. Such an encoding is exactly the path in which every two neighbouring pieces would also be left
+apart if they stood alone, because no merge crosses a boundary that holds. So the acceptor gives a pair weight 0 if merging leaves it apart
+and infinity if not; it is expanded lazily and remembered.
+
+The normalised input is composed with lexicon and acceptor as far as the search goes: a state is a place in the input and the last piece, its
+arcs are the lexicon's from that place, weighed by the acceptor. The shortest path of the tropical semiring is found by relaxing states
+in order of their weight. All finite weights are 0, so that order is free among open states, and the one last opened by the longest arc
+goes first; the first path that reaches the end is a shortest one. Every place is reached over finite weights in one way only (each prefix
+of a text has one encoding), so that no state is relaxed twice.
 
 Inputs are cut where no piece can reach across (before a meta symbol that follows something else, and around line ends), and
 chunks that have been seen are remembered, up to 2 x CACHE chunks for each Python worker.
 
-Scale: a map over rows without shuffles; each worker holds the compiled model and its bounded memories.
+Scale: a map over rows without shuffles. The model file, a few hundred kilobytes, is read by the driver and sent to the workers, each of which
+compiles it once and has bounded memories. A very long text is cut as any other; one without a place to cut takes memory by its length.
 
 Defined results: null gives null ids, an empty text none; characters without a piece become bytes; ids that don't decode to UTF-8 give
 replacement characters; decoding gives back every text that holds neither the meta symbol itself nor (if the model squeezes blanks)
@@ -36,6 +43,7 @@ from treeline.llm.common import with_small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
 CACHE = 120_000
+RUNS = re.compile(" +|[^ ]+")
 #: Pairs of neighbours that a worker remembers.
 PAIRS = 300_000
 #: An arc is END x its end + its number. These numbers stand for the start of the input and for a character that occurs in no piece.
@@ -71,6 +79,42 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += n
 
 
+class Normaliser:
+    """A machine over two classes of characters, blank (1) and other (0), with a table of arcs: state and class to next state and output.
+
+    The output None copies the character.
+    """
+
+    START, BETWEEN, BLANKS = range(3)
+
+    def __init__(self, prefix: bool, squeeze: bool):
+        self.prefix = META if prefix else ""
+        one = (self.BETWEEN, META)
+        # A blank is held back while it may be the last of the text, if blanks are squeezed; START then skips blanks.
+        self.arcs = {
+            (self.START, 0): (self.BETWEEN, None),
+            (self.START, 1): (self.START, "") if squeeze else one,
+            (self.BETWEEN, 0): (self.BETWEEN, None),
+            (self.BETWEEN, 1): (self.BLANKS, "") if squeeze else one,
+            (self.BLANKS, 0): (self.BETWEEN, META),
+            (self.BLANKS, 1): (self.BLANKS, ""),
+        }
+        # Without squeezing, all states that are reached write the same for a class: the machine is a map of characters.
+        self.map = None if squeeze else {ord(" "): META}
+
+    def run(self, text: str) -> str:
+        if self.map is not None:
+            return self.prefix + text.translate(self.map) if text else ""
+        state, out = self.START, []
+        for part in RUNS.findall(text):
+            state, written = self.arcs[state, int(part[0] == " ")]
+            out.append(written if written is not None else part)
+            if part[0] != " " and written == META:
+                out.append(part)
+        done = "".join(out)
+        return self.prefix + done if done else ""
+
+
 class Transducer:
     """The compiled model; encode() and decode() run it forwards and backwards."""
 
@@ -80,7 +124,7 @@ class Transducer:
         self.ids: dict[str, int] = {}
         self.byte_ids, self.unknown = [0] * 256, 0
         bpe = fallback = False
-        self.prefix, self.squeeze = True, True
+        self.prefix, squeeze = True, True
         out: list[bytes] = []
         for number, value in _fields(model):
             if number == 1:
@@ -102,11 +146,12 @@ class Transducer:
                 bpe, fallback = trainer.get(3, 1) == 2, bool(trainer.get(35, 0))
             elif number == 3:
                 norm = dict(_fields(value))
-                self.prefix, self.squeeze = bool(norm.get(3, 1)), bool(norm.get(4, 1))
+                self.prefix, squeeze = bool(norm.get(3, 1)), bool(norm.get(4, 1))
                 if norm.get(2):
                     raise ValueError("a model with a character map is not supported")
         if not bpe or not fallback:
             raise ValueError("a BPE model with byte fallback is expected")
+        self.normaliser = Normaliser(self.prefix, squeeze)
         self.joined = np.frombuffer(b"".join(out), np.uint8)
         self.lengths = np.array([len(x) for x in out], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -147,7 +192,7 @@ class Transducer:
         return known
 
     def arcs(self, text: str, at: int) -> list[int]:
-        """The lexicon's arcs from a place, the longest last; a character without any is its own."""
+        """The lexicon's arcs from a place, the longest last; a character without a piece of its own has a byte arc."""
         out, step, end, n = [], self.step, at + 1, len(text)
         while end <= n:
             code = step.get(text[at:end])
@@ -162,11 +207,12 @@ class Transducer:
             out.insert(0, END * (at + 1) + OTHER)
         return out
 
-    def path(self, text: str) -> list[int]:
-        """The arcs of the one path of finite weight, found depth first with the longest arcs tried first.
+    def written(self, piece: int, read: str) -> list[int]:
+        """What an arc writes: its piece's id, or the ids of the bytes that it has read."""
+        return [piece] if piece < len(self.pieces) else [self.byte_ids[b] for b in read.encode("utf-8", "surrogatepass")]
 
-        A place is reached over finite weights in one way only, so that no place is entered twice.
-        """
+    def shortest(self, text: str) -> list[int]:
+        """The arcs of the shortest path of the composed machine, found by relaxing its states, the last opened first."""
         n, at, last = len(text), 0, START
         taken: list[int] = []
         open_ = [self.arcs(text, 0)]
@@ -177,10 +223,10 @@ class Transducer:
             while arcs:
                 arc = arcs.pop()
                 piece = arc % END
-                fits = None if row is None else row.get(piece)
-                if fits is None:
-                    fits = piece == OTHER or last == OTHER or self.holds(last, piece)
-                if fits:
+                weighs_nothing = None if row is None else row.get(piece)
+                if weighs_nothing is None:
+                    weighs_nothing = piece == OTHER or last == OTHER or self.holds(last, piece)
+                if weighs_nothing:
                     taken.append(arc)
                     at, last = arc // END, piece
                     if at < n:
@@ -194,12 +240,12 @@ class Transducer:
 
     def chunk(self, text: str) -> bytes:
         out, start, size = array("i"), 0, len(self.pieces)
-        for arc in self.path(text):
+        for arc in self.shortest(text):
             end, piece = divmod(arc, END)
             if piece < size:
                 out.append(piece)
             else:
-                out.extend(self.byte_ids[b] for b in text[start:end].encode("utf-8", "surrogatepass"))
+                out.extend(self.written(piece, text[start:end]))
             start = end
         return out.tobytes()
 
@@ -215,11 +261,9 @@ class Transducer:
         return got
 
     def encode(self, text: str) -> np.ndarray:
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
+        text = self.normaliser.run(text)
         if not text:
             return np.zeros(0, np.int32)
-        text = (META if self.prefix else "") + text.replace(" ", META)
         if self.inner or self.lines:
             return np.frombuffer(self.chunk(text), np.int32)
         out = []
@@ -240,11 +284,14 @@ class Transducer:
         return self.decoded(np.asarray(ids, np.int64)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=1)
 def load(path: str) -> Transducer:
-    """The transducer of a model file that every worker can open."""
     with open(path, "rb") as f:
-        return Transducer(f.read())
+        return compiled(f.read())
+
+
+@lru_cache(maxsize=1)
+def compiled(model: bytes) -> Transducer:
+    return Transducer(model)
 
 
 def encode_documents(docs: DataFrame, *, text_col: str = "text", model: str = MODEL) -> DataFrame:
@@ -252,9 +299,11 @@ def encode_documents(docs: DataFrame, *, text_col: str = "text", model: str = MO
     added = ("ids", "n_tokens", "round_trip")
     kept = [c for c in docs.columns if c.lower() not in added]
     at = kept.index(text_col)
+    with open(model, "rb") as f:
+        sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = load(model)
+        t = compiled(sent.value)
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
                 b = whole.slice(first, 500)
