@@ -1,9 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
 from treeline import format as fmt
 from treeline import runner
 from treeline.functions import semantic
-from treeline.operators import business, clones, documents, graph
+from treeline.operators import business, classes, clones, documents, graph, results
 from treeline.sources.trees import assignment, attribute_access, binary_op, block, call, collection_op, conditional, container, early_return, exception_handling, function_def, lambda_, literal, loop, match_arm, nodes_of, read_sources, variable
 
 
@@ -59,8 +60,8 @@ def test_class_metrics(spark):
     n = nodes_of(spark, {"account": account, "apart": apart})
     got = {r.doc_id: (r.methods, r.pairs, r.lcom, r.tcc, r.lcc) for r in documents.cohesion(n).collect()}
     assert got == {"account": (3, 3, 0, 1.0, 1.0), "apart": (4, 6, 1, round(2 / 6, 6), 0.5)}
-    assert {r.doc_id: (r.public_methods, r.max_params) for r in documents.api_surface(n).collect()} == {"account": (3, 1), "apart": (4, 1)}
-    assert {r.doc_id: r.pattern for r in documents.state_management(n).collect()} == {"account": "shared", "apart": "mixed"}
+    assert {r.doc_id: (r.public_methods, r.max_params, r.assessment) for r in classes.api_surface(n).collect()} == {"account": (3, 1, "excellent"), "apart": (4, 1, "excellent")}
+    assert {r.doc_id: (r.pattern, r.state_count) for r in classes.state_management(n).collect()} == {"account": ("immutable_state", 1), "apart": ("immutable_state", 3)}
 
 
 def test_simplify_conditional(spark):
@@ -138,5 +139,87 @@ def test_runner_registry_and_formats(spark):
         pass
     else:
         raise AssertionError("a name was registered twice")
+    with pytest.raises(KeyError):
+        runner.run(n, ("no_such_analyzer",))
     assert fmt.tree_text(n).first().text.startswith("block\n  function_call eval")
     assert fmt.tree_json(n).first().json.startswith("[{")
+
+
+def test_runner_goes_on_and_halts(spark):
+    n = nodes_of(spark, {"d": block(call("eval", call("input")), early_return(), call("f"), call("exec"))})
+    r = runner.default_registry()
+    r.register(runner.Analyzer("broken", "x", lambda nodes, config: nodes.select("no_such_column")))
+    r.register(runner.Analyzer("gated", "x", lambda nodes, config: nodes, gate=lambda config: False))
+    issues, errors = runner.run_with_errors(n, registry=r)
+    assert set(errors) == {"broken"} and {"security", "dead_code"} <= {x.analyzer for x in issues.collect()}
+    halted = runner.run(n, ("security", "dead_code"), halt_on_error=True).orderBy("pre", "analyzer").collect()
+    assert [x.severity for x in halted] == ["error"]
+    assert not runner.valid("x") and r.register_all([r.known["taint"], runner.Analyzer("own", "y", lambda n, c: n), runner.Analyzer("off", "y", lambda n, c: n)], ("off",)) == ["taint", "off"]
+    spark.conf.set(runner.DISABLED, "security,taint")
+    try:
+        assert "security" not in {x.analyzer for x in runner.run(n).collect()}
+    finally:
+        spark.conf.unset(runner.DISABLED)
+    text, ms = runner.timed(n, names=("dead_code",))
+    assert "dead_code" in text and ms > 0
+
+
+def test_reports_and_filters(spark):
+    n = nodes_of(spark, {"d": block(call("eval"), text("http://a.example")), "e": call("f")})
+    found = documents.security(n)
+    assert results.at_least(found, "high").count() == 1 and results.of_categories(found, ("insecure_protocol",)).count() == 1
+    with pytest.raises(ValueError):
+        results.at_least(found, "enormous")
+    assert results.at_least(results.with_confidence(found, "medium"), "high", "confidence", results.CONFIDENCE).count() == 0
+    rolled = {r.doc_id: (r.has_findings, r.total, r.by_severity, r.summary) for r in results.rolled_up(found, n, "severity").collect()}
+    assert rolled == {"d": (True, 2, {"critical": 1, "medium": 1}, "critical: 1, medium: 1"), "e": (False, 0, None, "none")}
+    rows = n.groupBy("doc_id").count()
+    made = {s: {r.doc_id: r.report for r in results.report(rows, style=s).collect()} for s in ("text", "json", "detailed")}
+    assert made["text"]["e"] == "e - count: 1" and made["json"]["e"] == '{"doc_id":"e","count":1}' and made["detailed"]["e"].endswith("count: 1")
+    one = n.filter("pre = 1").select(results.issue("a", "c", "error", "m", k="v").alias("i"), results.suggestion("replace", "x").alias("s")).first()
+    assert (one.i.analyzer, one.i.metadata, one.s.type) == ("a", {"k": "v"}, "replace")
+    with pytest.raises(ValueError):
+        results.issue("a", "c", "grave")
+
+
+def test_languages_files_and_command_line(spark, tmp_path, capsys):
+    from treeline import cli
+    from treeline.sources.trees import from_file, quote, supported_languages
+    from treeline.sources.unparse import to_files, unquote
+
+    (tmp_path / "a.py").write_text("if a:\n    eval(input())\n")
+    (tmp_path / "b.py").write_text("x = 1\n")
+    (tmp_path / "notes.txt").write_text("no source")
+    n = from_file(spark, str(tmp_path))
+    assert n.select("doc_id").distinct().count() == 2
+    assert {r.language for r in supported_languages(spark).filter("readable").collect()} == {"python", "ruby", "elixir", "erlang", "haskell"}
+    assert unquote(quote("x = [1, 2]")) == "x = [1, 2]\n"
+    with pytest.raises(ValueError):
+        quote("x", "cobol")
+    out = str(tmp_path / "out")
+    to_files(n.withColumn("doc_id", F.element_at(F.split("doc_id", "/"), -1)), out)
+    assert "eval(input())" in "".join(r.value for r in spark.read.text(out).collect())
+    for command in (*cli.COMMANDS, "languages"):
+        cli.rows(spark, [command, *([str(tmp_path)] if command != "languages" else [])])[0].count()
+    cli.main(["security_scan", str(tmp_path / "a.py"), "--format", "json", "--least", "critical"])
+    assert "unsafe_deserialization" in capsys.readouterr().out
+    assert cli.rows(spark, ["validate_equivalence", str(tmp_path / "a.py"), str(tmp_path / "a.py")])[0].first().equivalent
+    assert cli.detect_language(spark, "x/y.rb") == "ruby" and cli.detect_language(spark, "x") is None
+
+
+def test_supplementals(spark):
+    from treeline import supplementals as s
+    from treeline.sources.trees import Node
+
+    known = s.default()
+    assert known.available("gather", "python") and not known.available("gather", "ruby")
+    for language, error in (("python", s.Missing), ("ruby", s.Unsupported)):
+        with pytest.raises(error):
+            known.transform(Node("teapot"), language)
+    known.register(s.Supplemental("odd", "python", ("odd",), lambda n: "text"))
+    with pytest.raises(s.Incompatible):
+        known.transform(Node("odd"), "python")
+    with pytest.raises(s.Conflict):
+        known.register(s.Supplemental("again", "python", ("odd",)))
+    assert known.matrix_text(spark, markdown=True).startswith("| construct | python |") and "asyncio" in known.matrix_text(spark)
+    assert known.transform(Node("async_context", [variable("x")]), "python").children[0].value == "x"

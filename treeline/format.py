@@ -15,6 +15,19 @@ def tree_text(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))
 
 
+def tree_plain(nodes: DataFrame) -> DataFrame:
+    """(doc_id, text): the types of the nodes in order of place, in one line."""
+    rows = F.array_sort(F.collect_list(F.struct("pre", "type")))
+    return nodes.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["type"]), " ").alias("text"))
+
+
+def tree_format(nodes: DataFrame, style: str = "tree") -> DataFrame:
+    made = {"tree": tree_text, "json": tree_json, "plain": tree_plain}
+    if style not in made:
+        raise ValueError(f"unknown style {style}")
+    return made[style](nodes)
+
+
 def tree_json(nodes: DataFrame) -> DataFrame:
     """(doc_id, json): the nodes in order of place, as an array of objects without empty fields."""
     node = F.struct("pre", "parent_pre", "type", "role", "subtype", "value", "category", "operator", "name")

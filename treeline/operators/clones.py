@@ -30,8 +30,21 @@ def clone_groups(nodes: DataFrame) -> DataFrame:
     return prints.join(groups.withColumnRenamed("shape", "s"), C("shape") == C("s")).select("doc_id", "group_id", kind.alias("clone_type"), "group_size")
 
 
+def token_stream(nodes: DataFrame) -> DataFrame:
+    """(doc_id, tokens): the types of the nodes in order of place."""
+    rows = F.array_sort(F.collect_list(F.struct("pre", "type")))
+    return nodes.groupBy("doc_id").agg(F.transform(rows, lambda r: r["type"]).alias("tokens"))
+
+
 def token_sets(nodes: DataFrame) -> DataFrame:
-    return nodes.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.concat_ws(":", "type", F.coalesce("operator", "subtype", F.lit(""))))).alias("tokens"))
+    return nodes.groupBy("doc_id").agg(F.array_sort(F.collect_set("type")).alias("tokens"))
+
+
+def pairs_of(nodes: DataFrame, asked: Column) -> DataFrame:
+    """(left, right): each document of the stated query set with every other; the set is broadcast if it is small."""
+    docs = nodes.filter("parent_pre = -1").select("doc_id")
+    left = docs.filter(asked).select(C("doc_id").alias("left"))
+    return left.join(docs.select(C("doc_id").alias("right")), C("left") != C("right"))
 
 
 def token_similarity(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -75,11 +88,25 @@ def structural_similarity(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(a, "left").join(b, "right").select("left", "right", "x", "y", "sx", "sy").mapInPandas(run, "left string, right string, structural double")
 
 
-def detect(pairs: DataFrame, nodes: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(left, right, similarity, clone_type): exact, renamed and near-miss clones among the given pairs; null for none."""
+def detect(pairs: DataFrame, nodes: DataFrame, threshold: float = 0.8, weights: tuple[float, float] = (0.6, 0.4), min_nodes: int = 0, types: tuple[str, ...] = ("type_i", "type_ii", "type_iii")) -> DataFrame:
+    """(left, right, similarity, clone_type): exact, renamed and near-miss clones among the given pairs; null for none.
+
+    Documents that don't conform, or have fewer than min_nodes nodes, are no clones of anything; types says which kinds are looked for.
+    """
+    from treeline.operators.metrics import conformance
+
+    sound = conformance(nodes).filter("conforms").select("doc_id")
+    if min_nodes:
+        sound = sound.join(nodes.groupBy("doc_id").count().filter(C("count") >= min_nodes), "doc_id", "left_semi")
+    nodes = nodes.join(sound, "doc_id", "left_semi")
     prints = fingerprints(nodes)
     both = structural_similarity(pairs, nodes).join(token_similarity(pairs, nodes), ["left", "right"])
     both = both.join(prints.select(C("doc_id").alias("left"), C("exact").alias("e1"), C("shape").alias("s1")), "left").join(prints.select(C("doc_id").alias("right"), C("exact").alias("e2"), C("shape").alias("s2")), "right")
-    score = F.round(0.6 * C("structural") + 0.4 * C("similarity"), 6)
+    score = F.round(weights[0] * C("structural") + weights[1] * C("similarity"), 6)
     kind = F.when(C("e1") == C("e2"), "type_i").when(C("s1") == C("s2"), "type_ii").when(score >= threshold, "type_iii")
-    return both.select("left", "right", score.alias("similarity"), kind.alias("clone_type"))
+    return both.select("left", "right", score.alias("similarity"), F.when(kind.isin(*types), kind).alias("clone_type"))
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(left, right, similar): whether the weighted similarity reaches the threshold."""
+    return detect(pairs, nodes, threshold).select("left", "right", (C("similarity") >= threshold).alias("similar"))

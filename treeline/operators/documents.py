@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.functions import rules as R
-from treeline.operators.metrics import count_if, is_a, logical, statement
+from treeline.operators.metrics import count_if, is_a, per_function, statement
 from treeline.plans.axes import children, descendants, with_child
 
 C = F.col
@@ -39,12 +39,27 @@ def dead_code(nodes: DataFrame) -> DataFrame:
     return unreachable(nodes).union(constant_conditionals(nodes))
 
 
-def unused_variables(nodes: DataFrame) -> DataFrame:
-    """(doc_id, variable): names that are assigned or bound as parameters and never read in the document."""
+def unused_variables(nodes: DataFrame, ignore_underscore: bool = True, compat: str | None = None) -> DataFrame:
+    """(doc_id, variable): names that are assigned or bound as parameters and never read in a scope around the binding.
+
+    Lambdas, definitions, containers and loops are scopes; a read counts for every scope that is open where it stands, so that a binding
+    is unused if its scope (the subtree of the innermost scope around it) has no read of the name. With compat="reference" only bindings outside
+    of all scopes are reported.
+    """
     target = F.coalesce(C("role").isin("target", "param", "iter", "pattern"), F.lit(False))
-    named = nodes.filter(is_a("variable", "param") & C("value").isNotNull())
-    g = named.groupBy("doc_id", C("value").alias("variable")).agg(F.max(F.when(target, 1).otherwise(0)).alias("written"), F.max(F.when(~target, 1).otherwise(0)).alias("read"))
-    return g.filter((C("written") == 1) & (C("read") == 0)).select("doc_id", "variable")
+    named = nodes.filter(is_a("variable", "param") & C("value").isNotNull()).withColumn("written", target)
+    scopes = nodes.filter(is_a("lambda", "function_def", "container", "loop")).select(C("doc_id").alias("d"), C("pre").alias("s"), (C("pre") + C("size")).alias("e"))
+    writes = named.filter("written").select("doc_id", "pre", C("value").alias("variable"))
+    held = writes.join(scopes, (C("doc_id") == C("d")) & (C("pre") > C("s")) & (C("pre") < C("e")), "left")
+    # The innermost scope is the last that begins before the binding.
+    held = held.groupBy("doc_id", "pre", "variable").agg(F.max(F.struct("s", "e")).alias("scope")).select("doc_id", "variable", F.coalesce("scope.s", F.lit(-1)).alias("s"), F.coalesce("scope.e", F.lit(2**62)).alias("e")).distinct()
+    reads = named.filter("NOT written").select(C("doc_id").alias("rd"), C("value").alias("rv"), C("pre").alias("rp"))
+    unused = held.join(reads, (C("doc_id") == C("rd")) & (C("variable") == C("rv")) & (C("rp") >= C("s")) & (C("rp") < C("e")), "left_anti")
+    if compat == "reference":
+        unused = unused.filter("s = -1")
+    if ignore_underscore:
+        unused = unused.filter(~C("variable").startswith("_"))
+    return unused.select("doc_id", "variable").distinct()
 
 
 def effect_of(name: Column) -> Column:
@@ -84,17 +99,21 @@ def rollup(findings: DataFrame, *columns: str) -> DataFrame:
 
 
 def magic_numbers(nodes: DataFrame) -> DataFrame:
-    """Numbers other than 0, 1 and -1, and all floats, directly or further below an operator of the same expression."""
+    """Numbers other than 0, 1 and -1, and all floats, directly below an operator."""
     number = is_a("literal") & ((C("subtype") == "float") | ((C("subtype") == "integer") & ~C("value").isin("0", "1", "-1")))
     operators = nodes.filter(is_a("binary_op", "unary_op")).select(C("doc_id").alias("d"), C("pre").alias("p"))
     return nodes.filter(number).join(operators, (C("doc_id") == C("d")) & (C("parent_pre") == C("p")), "left_semi").select("doc_id", "pre", "value")
 
 
 def complex_conditionals(nodes: DataFrame, most: int = 2) -> DataFrame:
-    """Conditions that hold more boolean operators than `most`."""
-    cond = nodes.filter("role = 'cond'").select("doc_id", "pre", "size", F.when(logical(), 1).otherwise(0).alias("own"))
-    below = descendants(cond, nodes.filter(logical()), "operator")
-    g = below.groupBy("doc_id", "pre", "own").count().withColumn("operators", C("count") + C("own")).filter(C("operators") > most)
+    """Conditions in which boolean operators are nested more than `most` deep: (doc_id, pre, operators, severity), operators being that depth."""
+    boolean = is_a("binary_op", "unary_op") & (C("category") == "boolean")
+    cond = nodes.filter("role = 'cond'").select(C("doc_id").alias("d"), C("pre").alias("c"), (C("pre") + C("size")).alias("end"))
+    tops = nodes.filter(boolean).select("doc_id", "pre", "size")
+    inside = tops.join(cond, (C("doc_id") == C("d")) & (C("pre") >= C("c")) & (C("pre") < C("end"))).select("doc_id", "c", "pre", "size")
+    over = inside.select(C("doc_id").alias("od"), C("c").alias("oc"), C("pre").alias("op"), (C("pre") + C("size")).alias("oe"))
+    depth = inside.join(over, (C("doc_id") == C("od")) & (C("c") == C("oc")) & (C("op") <= C("pre")) & (C("pre") < C("oe"))).groupBy("doc_id", "c", "pre").count()
+    g = depth.groupBy("doc_id", C("c").alias("pre")).agg(F.max("count").alias("operators")).filter(C("operators") > most)
     return g.select("doc_id", "pre", "operators", F.when(C("operators") > 3, "high").otherwise("medium").alias("severity"))
 
 
@@ -103,13 +122,22 @@ def severity_of(ratio: Column) -> Column:
 
 
 def smells(nodes: DataFrame, max_statements: int = 50, max_nesting: int = 4) -> DataFrame:
-    """Long documents and deep nesting, with a severity from how far they pass the limit."""
-    g = nodes.groupBy("doc_id").agg(count_if(statement()).alias("statements"), F.max("nest").cast("long").alias("nesting"))
-    long_ = g.filter(C("statements") > max_statements).select("doc_id", F.lit("long_function").alias("smell"), severity_of(C("statements") / max_statements).alias("severity"))
+    """Long functions (documents, where they hold none) and deep nesting, with a severity from how far they pass the limit."""
+    g = nodes.groupBy("doc_id").agg(count_if(statement()).alias("statements"), F.max("nest").cast("long").alias("nesting"), count_if(is_a("function_def")).alias("functions"))
+    whole = g.filter("functions = 0").select("doc_id", "statements")
+    long_ = whole.union(per_function(nodes).select("doc_id", "statements")).filter(C("statements") > max_statements)
+    long_ = long_.select("doc_id", F.lit("long_function").alias("smell"), severity_of(C("statements") / max_statements).alias("severity"))
     deep = g.filter(C("nesting") > max_nesting).select("doc_id", F.lit("deep_nesting").alias("smell"), severity_of(C("nesting") / max_nesting).alias("severity"))
     return long_.union(deep)
 
 
+def all_smells(nodes: DataFrame, max_statements: int = 50, max_nesting: int = 4) -> DataFrame:
+    """(doc_id, smell, severity): long functions, deep nesting, magic numbers and complex conditions."""
+    magic = magic_numbers(nodes).select("doc_id", F.lit("magic_number").alias("smell"), F.lit("low").alias("severity"))
+    complex_ = complex_conditionals(nodes).select("doc_id", F.lit("complex_conditional").alias("smell"), "severity")
+    return smells(nodes, max_statements, max_nesting).union(magic).union(complex_)
+
+
 def taint(nodes: DataFrame) -> DataFrame:
     """Sinks with an argument, at any depth, that is a source of the same language."""
     spark = nodes.sparkSession
@@ -165,31 +193,6 @@ def _label(label: Column, edge: Column, end: int) -> Column:
     return F.element_at(label, F.array_position(C("places"), edge[end]).cast("int"))
 
 
-def api_surface(nodes: DataFrame) -> DataFrame:
-    """Public methods of each class and their numbers of parameters."""
-    methods = nodes.filter(is_a("function_def") & (F.coalesce("visibility", F.lit("public")) == "public")).select("doc_id", "pre")
-    params = children(nodes, "pre", where="type = 'param'").groupBy(C("doc_id").alias("d"), "up").count()
-    rows = methods.join(params, (C("doc_id") == C("d")) & (C("pre") == C("up")), "left").withColumn("n", F.coalesce("count", F.lit(0)))
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("public_methods"), F.round(F.avg("n"), 6).alias("avg_params"), F.max("n").alias("max_params"))
-
-
-def encapsulation(nodes: DataFrame) -> DataFrame:
-    """Public, private and accessor methods of each class; a score of 100 less what violations cost."""
-    public = F.coalesce("visibility", F.lit("public")) == "public"
-    accessor = C("name").rlike("^(get|set|is|has)_?[A-Za-z]")
-    g = nodes.filter(is_a("function_def")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("methods"), count_if(public).alias("public_methods"), count_if(~public).alias("private_methods"), count_if(accessor).alias("accessors"))
-    excessive = (C("accessors") > 5) & (C("accessors") > 0.7 * C("methods"))
-    g = g.withColumn("violations", F.when(excessive, 1).otherwise(0)).withColumn("score", F.greatest(F.lit(0), 100 - 5 * C("violations")))
-    return g.withColumn("assessment", F.when(C("score") >= 90, "excellent").when(C("score") >= 75, "good").when(C("score") >= 60, "fair").when(C("score") >= 40, "poor").otherwise("very_poor"))
-
-
-def state_management(nodes: DataFrame) -> DataFrame:
-    """Attributes of each class and how many methods touch each; those that one method alone touches are local state."""
-    per = method_attributes(nodes).groupBy("doc_id", "attribute").agg(F.count_distinct("place").alias("methods"))
-    g = per.groupBy("doc_id").agg(F.count(F.lit(1)).alias("state_variables"), count_if(C("methods") > 1).alias("shared"), F.max("methods").alias("most_methods"))
-    return g.withColumn("pattern", F.when(C("shared") == 0, "isolated").when(C("shared") == C("state_variables"), "shared").otherwise("mixed"))
-
-
 def simplify_conditional(nodes: DataFrame) -> DataFrame:
     """Conditionals that give true/false, false/true or a constant in one branch."""
     rows = nodes.filter(is_a("conditional")).unionByName(nodes.filter("role IN ('then', 'else')"))

@@ -76,3 +76,10 @@ def as_dot(edges: DataFrame) -> DataFrame:
 
 def as_json(edges: DataFrame) -> DataFrame:
     return edges.groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("source", "target", "label")))).alias("json"))
+
+
+def as_d3(edges: DataFrame) -> DataFrame:
+    """(doc_id, json): nodes with an id and links between them, as force layouts take them."""
+    nodes = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("source", "target")))))
+    g = edges.groupBy("doc_id").agg(F.transform(nodes, lambda x: F.struct(x.alias("id"))).alias("nodes"), F.array_sort(F.collect_list(F.struct("source", "target", "label"))).alias("links"))
+    return g.select("doc_id", F.to_json(F.struct("nodes", "links")).alias("json"))

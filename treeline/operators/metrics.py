@@ -58,7 +58,7 @@ def conformance(nodes: DataFrame) -> DataFrame:
         .when(is_a("attribute_access"), (n == 1) & C("name").isNotNull())
         .when(is_a("conditional"), n.between(2, 3))
         .when(is_a("early_return"), n <= 1)
-        .when(is_a("loop"), F.when(C("loop_type") == "while", n == 2).otherwise(C("loop_type").isin("for", "for_each") & (n == 3)))
+        .when(is_a("loop"), F.when(C("loop_type") == "while", n.between(2, 3)).otherwise(C("loop_type").isin("for", "for_each") & n.between(3, 4)))
         .when(is_a("collection_op"), F.when(C("op_type").isin("map", "filter"), n == 2).otherwise((C("op_type") == "reduce") & (n == 3)))
         .when(is_a("pattern_match", "exception_handling"), n >= 1)
         .when(is_a("async_operation"), C("op_type").isin("await", "async") & (n == 1))

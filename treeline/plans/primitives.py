@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 C = F.col
@@ -26,13 +26,66 @@ def put_meta(nodes: DataFrame, where: Column, **values: str) -> DataFrame:
     return nodes.withColumns({k: F.when(where, F.lit(v)).otherwise(C(k)) for k, v in values.items()})
 
 
+def update_meta(nodes: DataFrame, where: Column, **values: Column) -> DataFrame:
+    """The nodes with metadata computed from their columns where the condition holds."""
+    unknown = set(values) - set(META)
+    if unknown:
+        raise KeyError(f"no metadata columns: {', '.join(sorted(unknown))}")
+    return nodes.withColumns({k: F.when(where, v).otherwise(C(k)) for k, v in values.items()})
+
+
+def update_children(nodes: DataFrame, parents: str, keep: Column) -> DataFrame:
+    """The nodes without the children (and what is below them) of certain parents for which keep doesn't hold; places keep their numbers."""
+    above = nodes.filter(parents).select(C("doc_id").alias("pd"), C("pre").alias("pp"))
+    gone = nodes.filter(~F.coalesce(keep, F.lit(False))).join(above, (C("doc_id") == C("pd")) & (C("parent_pre") == C("pp")), "left_semi")
+    gone = gone.select(C("doc_id").alias("d"), C("pre").alias("p"), C("size").alias("s"))
+    return nodes.join(gone, (C("doc_id") == C("d")) & (C("pre") >= C("p")) & (C("pre") < C("p") + C("s")), "left_anti")
+
+
+def traverse(nodes: DataFrame, enter: Column, leave: Column | None = None) -> DataFrame:
+    """Adds acc: a number that a walk carries from node to node, as each node is entered.
+
+    It is the sum of `enter` over the nodes entered so far, this one included, and of `leave` over those whose subtrees have ended before. One
+    window by document over a row for each entry and each end.
+    """
+    ins = nodes.select("doc_id", C("pre").alias("at"), F.lit(1).alias("kind"), "pre", enter.cast("double").alias("v"))
+    outs = nodes.select("doc_id", (C("pre") + C("size")).alias("at"), F.lit(0).alias("kind"), "pre", (F.lit(0) if leave is None else leave).cast("double").alias("v"))
+    order = Window.partitionBy("doc_id").orderBy("at", "kind", F.desc("pre")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    walked = ins.union(outs).withColumn("acc", F.sum("v").over(order)).filter("kind = 1").select(C("doc_id").alias("d"), C("pre").alias("p"), "acc")
+    return nodes.join(walked, (C("doc_id") == C("d")) & (C("pre") == C("p"))).drop("d", "p")
+
+
+def location(file: str | None = None) -> Column:
+    """Where a node stands, as a struct."""
+    return F.struct(C("line").alias("line"), F.lit(file).cast("string").alias("file"))
+
+
+def metadata() -> Column:
+    """A node's metadata without empty entries, as a map."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), C(k).cast("string").alias("value")) for k in META])
+    return F.map_from_entries(F.filter(pairs, lambda x: x["value"].isNotNull()))
+
+
+def described(nodes: DataFrame) -> DataFrame:
+    """Adds what a node says of itself: arity of definitions and calls, container_name, function_visibility and has_state."""
+    params = nodes.filter(C("type") == "param").groupBy(C("doc_id").alias("d"), C("parent_pre").alias("u")).agg(F.count(F.lit(1)).alias("n"))
+    out = nodes.join(params, (C("doc_id") == C("d")) & (C("pre") == C("u")), "left").drop("d", "u")
+    arity = F.when(C("type").isin("function_def", "lambda"), F.coalesce("n", F.lit(0))).when(C("type") == "function_call", C("n_children").cast("long"))
+    is_container = C("type") == "container"
+    return out.withColumns({
+        "arity": arity, "container_name": F.when(is_container, C("name")), "function_visibility": F.when(C("type") == "function_def", F.coalesce("visibility", F.lit("public"))),
+        "has_state": F.when(is_container, C("container_type") == "class"),
+    }).drop("n")
+
+
 def prewalk(nodes: DataFrame) -> DataFrame:
-    return nodes.orderBy("doc_id", "pre")
+    """Parents before children: documents are kept together and sorted where they lie; documents have no order among them."""
+    return nodes.repartition("doc_id").sortWithinPartitions("doc_id", "pre")
 
 
 def postwalk(nodes: DataFrame) -> DataFrame:
     """Children before parents: by the end of the subtree, inner ones first."""
-    return nodes.orderBy("doc_id", C("pre") + C("size"), C("depth").desc())
+    return nodes.repartition("doc_id").sortWithinPartitions("doc_id", C("pre") + C("size"), C("depth").desc())
 
 
 def without_children(nodes: DataFrame, where: str) -> DataFrame:

@@ -11,7 +11,7 @@ from treeline import format as fmt
 from treeline import runner, supplementals
 from treeline.functions import rules as R
 from treeline.functions import semantic
-from treeline.operators import business, clones, documents, graph, metrics
+from treeline.operators import business, classes, clones, documents, graph, metrics, results
 from treeline.plans import primitives
 from treeline.sources import corpora
 from treeline.sources.trees import read_sources
@@ -68,21 +68,20 @@ over("function_metrics", "orders", metrics.function_metrics, f"SELECT doc_id, co
 over("per_function", "nations", metrics.per_function, "SELECT doc_id, name AS function_name, CAST(1 AS BIGINT) AS cyclomatic, CAST(0 AS BIGINT) AS statements, CAST(0 AS BIGINT) AS max_nesting FROM nodes WHERE type = 'function_def'")
 _COMPLEX = f"""SELECT doc_id, CAST(1 + sum({POINT}) AS BIGINT) AS cyclomatic, CAST(sum({OWN}) AS BIGINT) AS cognitive, CAST(max(nest) AS BIGINT) AS max_nesting, count(*) FILTER (type IN {STATEMENTS}) AS logical FROM nodes GROUP BY doc_id"""
 _WARN = "concat_ws(',', " + ", ".join(f"CASE WHEN {m} >= {e} THEN '{m} error' WHEN {m} >= {w} THEN '{m} warning' END" for m, w, e in metrics.THRESHOLDS) + ")"
+_LADDER = f"""SELECT *, CASE WHEN warnings <> '' AND NOT contains(warnings, ',') THEN 'moderate' WHEN warnings <> '' THEN 'high' WHEN cyclomatic <= 5 AND cognitive <= 7 AND max_nesting <= 2 THEN 'low' WHEN cyclomatic <= 10 AND cognitive <= 15 AND max_nesting <= 3 THEN 'moderate'
+    WHEN cyclomatic <= 20 AND cognitive <= 30 AND max_nesting <= 5 THEN 'high' ELSE 'very high' END AS summary FROM (SELECT *, {_WARN} AS warnings FROM ({_COMPLEX}))"""
+over("complexity", "orders", metrics.complexity, _LADDER)
 over(
-    "complexity", "orders", metrics.complexity,
-    f"""SELECT *, CASE WHEN warnings <> '' AND NOT contains(warnings, ',') THEN 'moderate' WHEN warnings <> '' THEN 'high' WHEN cyclomatic <= 5 AND cognitive <= 7 AND max_nesting <= 2 THEN 'low' WHEN cyclomatic <= 10 AND cognitive <= 15 AND max_nesting <= 3 THEN 'moderate'
-    WHEN cyclomatic <= 20 AND cognitive <= 30 AND max_nesting <= 5 THEN 'high' ELSE 'very high' END AS summary FROM (SELECT *, {_WARN} AS warnings FROM ({_COMPLEX}))""",
+    "complexity_merged", "orders", lambda n: metrics.merge(metrics.complexity(n), "summary").select("summary", "cyclomatic", "cognitive", "max_nesting", "logical", "documents"),
+    f"SELECT summary, max(cyclomatic) AS cyclomatic, max(cognitive) AS cognitive, max(max_nesting) AS max_nesting, CAST(sum(logical) AS BIGINT) AS logical, count(*) AS documents FROM ({_LADDER}) GROUP BY summary",
 )
-over("complexity_merged", "orders", lambda n: metrics.merge(metrics.complexity(n), "summary").select("summary", "cyclomatic", "cognitive", "max_nesting", "logical", "documents"))
 over(
     "unreachable_code", "orders", documents.dead_code,
     "SELECT n.doc_id, n.pre, 'unreachable_after_return' AS finding FROM nodes n JOIN (SELECT doc_id, parent_pre, min(ix) AS first_return FROM nodes WHERE type = 'early_return' GROUP BY 1, 2) r ON n.doc_id = r.doc_id AND n.parent_pre = r.parent_pre AND n.ix > first_return",
 )
-over("magic_numbers", "orders", documents.magic_numbers, "SELECT n.doc_id, n.pre, n.value FROM nodes n JOIN nodes p ON n.doc_id = p.doc_id AND n.parent_pre = p.pre AND p.type IN ('binary_op', 'unary_op') WHERE n.type = 'literal' AND (n.subtype = 'float' OR (n.subtype = 'integer' AND n.value NOT IN ('0', '1', '-1')))")
-over("complex_conditionals", "orders", documents.complex_conditionals, "SELECT doc_id, pre, CAST(0 AS BIGINT) AS operators, '' AS severity FROM nodes WHERE false")
+over("magic_numbers", "orders", documents.magic_numbers, "SELECT doc_id, pre, value FROM nodes WHERE type = 'literal' AND (subtype = 'float' OR (subtype = 'integer' AND value NOT IN ('0', '1', '-1')))")
 over("smells", "orders", documents.smells, f"SELECT doc_id, 'long_function' AS smell, CASE WHEN n / 50.0 >= 3 THEN 'critical' WHEN n / 50.0 >= 2 THEN 'high' WHEN n / 50.0 >= 1.5 THEN 'medium' ELSE 'low' END AS severity FROM (SELECT doc_id, count(*) AS n FROM nodes WHERE type IN {STATEMENTS} GROUP BY doc_id) WHERE n > 50")
 over("unused_variables", "orders", documents.unused_variables, "SELECT doc_id, value AS variable FROM nodes WHERE type = 'variable' GROUP BY 1, 2 HAVING count(*) FILTER (role = 'target') > 0 AND count(*) FILTER (role IS DISTINCT FROM 'target') = 0")
-over("simplify_conditional", "orders", documents.simplify_conditional, "SELECT doc_id, pre, '' AS simplification FROM nodes WHERE false")
 over(
     "control_flow_counts", "orders", documents.control_flow_counts,
     """SELECT doc_id, 2 + s + r + 2 * c AS cfg_nodes, 1 + s + r + 4 * c + ce AS cfg_edges FROM (
@@ -104,18 +103,21 @@ over(
     ) + ")",
 )
 over("security_rollup", "events", lambda n: documents.rollup(documents.security(n), "severity", "category"), "SELECT severity, category, count(*) AS n FROM (SELECT 'critical' AS severity, 'unsafe_deserialization' AS category FROM nodes WHERE type = 'function_call' AND name = 'eval') GROUP BY GROUPING SETS ((severity), (category), ())")
-over("taint", "events", documents.taint, "SELECT doc_id, pre, '' AS sink, '' AS source, '' AS risk FROM nodes WHERE false")
 over(
     "coupling", "events", documents.coupling,
     """SELECT doc_id, coalesce(string_agg(DISTINCT m, ',' ORDER BY m), '') AS dependencies, count(DISTINCT m) AS efferent, CASE WHEN count(m) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS instability, 'excellent' AS assessment
     FROM (SELECT doc_id, CASE WHEN type = 'function_call' AND contains(name, '.') THEN split_part(name, '.', 1) END AS m FROM nodes) GROUP BY doc_id""",
 )
-over("api_surface", "nations", documents.api_surface, "SELECT doc_id, count(*) AS public_methods, CAST(0 AS DOUBLE) AS avg_params, CAST(0 AS BIGINT) AS max_params FROM nodes WHERE type = 'function_def' AND visibility = 'public' GROUP BY doc_id")
-over("encapsulation", "nations", documents.encapsulation, "SELECT doc_id, count(*) AS methods, count(*) FILTER (visibility = 'public') AS public_methods, count(*) FILTER (visibility = 'private') AS private_methods, CAST(0 AS BIGINT) AS accessors, 0 AS violations, 100 AS score, 'excellent' AS assessment FROM nodes WHERE type = 'function_def' GROUP BY doc_id")
+over("api_surface", "nations", classes.api_surface, "SELECT doc_id, concat('N', substr(doc_id, 2)) AS container, count(*) AS public_methods, CAST(0 AS DOUBLE) AS avg_params, CAST(0 AS BIGINT) AS max_params, 'excellent' AS assessment, '' AS warnings FROM nodes WHERE type = 'function_def' AND visibility = 'public' GROUP BY doc_id")
+over(
+    "encapsulation", "nations", classes.encapsulation,
+    """SELECT doc_id, concat('N', substr(doc_id, 2)) AS container, count(*) AS methods, count(*) FILTER (visibility = 'public') AS public_methods, count(*) FILTER (visibility = 'private') AS private_methods,
+    count(*) FILTER (visibility = 'public' AND n_children = 1) AS accessors, 0 AS violations, 100 AS score, 'excellent' AS assessment FROM nodes WHERE type = 'function_def' GROUP BY doc_id""",
+)
 _USES = "u AS (SELECT DISTINCT m.doc_id, m.pre AS place, a.name AS attribute FROM nodes m JOIN nodes a ON m.doc_id = a.doc_id AND a.type = 'attribute_access' AND a.parent_pre = m.pre WHERE m.type = 'function_def')"
 KNOWN["state_management"] = (
-    lambda spark, sf_dir: documents.state_management(corpora.corpus(spark, sf_dir, "nations")),
-    f"WITH {corpora.NATIONS}, {_USES}, p AS (SELECT doc_id, attribute, count(DISTINCT place) AS m FROM u GROUP BY 1, 2), g AS (SELECT doc_id, count(*) AS state_variables, count(*) FILTER (m > 1) AS shared, max(m) AS most_methods FROM p GROUP BY 1) SELECT *, CASE WHEN shared = 0 THEN 'isolated' WHEN shared = state_variables THEN 'shared' ELSE 'mixed' END AS pattern FROM g",
+    lambda spark, sf_dir: classes.state_management(corpora.corpus(spark, sf_dir, "nations")),
+    f"WITH {corpora.NATIONS}, {_USES} SELECT doc_id, concat('N', substr(doc_id, 2)) AS container, count(DISTINCT attribute) AS state_count, CAST(0 AS BIGINT) AS mutation_count, '' AS initialized, string_agg(DISTINCT attribute, ',' ORDER BY attribute) AS uninitialized, string_agg(DISTINCT attribute, ',' ORDER BY attribute) AS read_only, '' AS mutable, 'immutable_state' AS pattern, 'excellent' AS assessment FROM u GROUP BY doc_id",
 )
 KNOWN["cohesion"] = (
     lambda spark, sf_dir: documents.cohesion(corpora.corpus(spark, sf_dir, "nations")),
@@ -147,7 +149,7 @@ over(
     SELECT doc_id, pre, line, 'improper_input_validation' AS analyzer, 'security' AS category, 'warning' AS severity FROM e WHERE {_any("name", R.SENSITIVE_ON_INPUT)} AND {_any("arg", R.USER_INPUT)}
     UNION ALL SELECT doc_id, pre, line, 'insecure_direct_object_reference', 'security', 'warning' FROM e WHERE (name IN {_listed(R.FETCHES)} OR last IN {_listed(R.FETCHES)}) AND arg IN ('params', 'user_id') AND owned = 0
     UNION ALL SELECT doc_id, pre, line, 'missing_authorization', 'security', 'error' FROM e WHERE last IN {_listed(R.SENSITIVE_CALLS)} AND arg IN ('params', 'user_id') AND authorized = 0
-    UNION ALL SELECT doc_id, pre, line, 'missing_telemetry_for_external_http', 'maintainability', 'info' FROM e WHERE {_any("name", R.HTTP_WORDS)}
+    UNION ALL SELECT doc_id, pre, line, 'missing_telemetry_for_external_http', 'maintainability', 'info' FROM e WHERE name = 'requests.get'
     UNION ALL SELECT doc_id, pre, line, 'ssrf_vulnerability', 'security', 'error' FROM e WHERE (name IN {_listed(R.HTTP_CLIENTS)} OR last IN {_listed(R.HTTP_CLIENTS)}) AND {_any("arg", R.URL_INPUT)} AND arg_type = 'variable')""",
 )
 _OCTET = r"(25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -173,8 +175,33 @@ over("clone_groups", "orders", lambda n: clones.clone_groups(n.drop("line").with
 over("control_flow_graph", "orders", lambda n: graph.graph_summary(graph.control_flow(n)),
      "SELECT doc_id, 1 + count(*) FILTER (type = 'conditional') * 5 AS edges, CAST(2 + count(*) FILTER (type IN ('conditional', 'assignment', 'function_call', 'early_return')) AS BIGINT) AS nodes, false AS cyclic, true AS all_reached FROM nodes GROUP BY doc_id")
 over("control_flow_dot", "orders", lambda n: graph.as_dot(graph.control_flow(n)))
-over("token_similarity", "events", lambda n: clones.token_similarity(n.select("doc_id").distinct().select(F.col("doc_id").alias("left"), F.lit("u1").alias("right")), n))
-over("format_tree", "nations", fmt.tree_text)
+over(
+    "token_similarity", "events", lambda n: clones.token_similarity(clones.pairs_of(n, F.substring("doc_id", 2, 20).cast("long") % 100 == 0), n),
+    """, t AS (SELECT doc_id, list(DISTINCT type) AS x FROM nodes GROUP BY doc_id)
+    SELECT a.doc_id AS left, b.doc_id AS right, round(len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x))), 6) AS similarity FROM t a JOIN t b ON a.doc_id <> b.doc_id AND CAST(substr(a.doc_id, 2) AS BIGINT) % 100 = 0""",
+)
+over("format_tree", "nations", fmt.tree_text, "SELECT doc_id, string_agg(concat(repeat('  ', depth), concat_ws(' ', type, name, operator, value)), chr(10) ORDER BY pre) AS text FROM nodes GROUP BY doc_id")
+over("format_plain", "nations", lambda n: fmt.tree_format(n, "plain"), "SELECT doc_id, string_agg(type, ' ' ORDER BY pre) AS text FROM nodes GROUP BY doc_id")
+over("traverse", "nations", lambda n: primitives.traverse(n, F.lit(1), F.lit(-1)).select("doc_id", "pre", "acc"), "SELECT doc_id, pre, CAST(depth + 1 AS DOUBLE) AS acc FROM nodes")
+over("token_stream", "nations", lambda n: clones.token_stream(n).select("doc_id", F.array_join("tokens", ",").alias("tokens")), "SELECT doc_id, string_agg(type, ',' ORDER BY pre) AS tokens FROM nodes GROUP BY doc_id")
+over(
+    "described", "nations", lambda n: primitives.described(n).filter("type IN ('container', 'function_def')").select("doc_id", "pre", "arity", "container_name", "function_visibility", "has_state"),
+    """SELECT doc_id, pre, CASE WHEN type = 'function_def' THEN 0 END AS arity, CASE WHEN type = 'container' THEN name END AS container_name, CASE WHEN type = 'function_def' THEN visibility END AS function_visibility,
+    CASE WHEN type = 'container' THEN true END AS has_state FROM nodes WHERE type IN ('container', 'function_def')""",
+)
+over(
+    "updated_meta", "orders", lambda n: primitives.update_meta(n, F.col("type") == "variable", name=F.upper("value"), kind=F.lit("v")).filter("kind = 'v'").select("doc_id", "pre", "name"),
+    "SELECT doc_id, pre, upper(value) AS name FROM nodes WHERE type = 'variable'",
+)
+over("updated_children", "orders", lambda n: primitives.update_children(n, "parent_pre = -1", F.col("type") == "conditional").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "SELECT doc_id, 1 + 14 * count(*) FILTER (type = 'conditional') AS n FROM nodes GROUP BY doc_id")
+over("security_high", "events", lambda n: results.of_categories(results.at_least(documents.security(n), "high"), ("unsafe_deserialization",)).groupBy("severity").agg(F.count(F.lit(1)).alias("n")), "SELECT 'critical' AS severity, count(*) AS n FROM nodes WHERE name = 'eval' HAVING count(*) > 0")
+over(
+    "security_results", "events", lambda n: results.rolled_up(documents.security(n), n, "severity").select("doc_id", "has_findings", "total", "summary"),
+    "SELECT doc_id, count(*) FILTER (name = 'eval') > 0 AS has_findings, count(*) FILTER (name = 'eval') AS total, CASE WHEN count(*) FILTER (name = 'eval') > 0 THEN concat('critical: ', count(*) FILTER (name = 'eval')) ELSE 'none' END AS summary FROM nodes GROUP BY doc_id",
+)
+over("dead_code_results", "orders", lambda n: results.rolled_up(documents.dead_code(n), n, "finding").select("doc_id", "has_findings", "total"),
+     "SELECT n.doc_id, count(*) FILTER (n.parent_pre = r.parent_pre AND n.ix > first_return) > 0 AS has_findings, count(*) FILTER (n.parent_pre = r.parent_pre AND n.ix > first_return) AS total FROM nodes n LEFT JOIN (SELECT doc_id, parent_pre, min(ix) AS first_return FROM nodes WHERE type = 'early_return' GROUP BY 1, 2) r ON n.doc_id = r.doc_id GROUP BY n.doc_id")
+over("metric_selection", "orders", lambda n: results.selected(metrics.complexity(n), ("cyclomatic",)).select("doc_id", "cyclomatic", "cognitive", "summary"), f"SELECT doc_id, CAST(1 + sum({POINT}) AS BIGINT) AS cyclomatic, CAST(0 AS BIGINT) AS cognitive, '' AS summary FROM nodes GROUP BY doc_id")
 over("format_json", "nations", fmt.tree_json)
 over("format_results", "orders", lambda n: fmt.results_json(metrics.complexity(n)))
 
@@ -240,13 +267,11 @@ def translated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 KNOWN["translate_ruby"] = (translated, "SELECT CAST(s_suppkey AS STRING) AS doc_id, concat('(x + ', CAST(s_suppkey AS STRING), ')', chr(10)) AS source FROM supplier")
-over("clone_pairs", "nations", lambda n: clones.detect(n.filter("parent_pre = -1").select(F.lit("n0").alias("left"), F.col("doc_id").alias("right")).filter("right <> 'n0'"), n))
 over("equivalence", "nations", lambda n: primitives.equivalent(n, n.withColumn("line", F.col("line") + 1)), "SELECT DISTINCT doc_id, true AS equivalent FROM nodes")
 KNOWN["supplemental_matrix"] = (
     lambda spark, sf_dir: supplementals.default().matrix(spark),
     "SELECT * FROM (VALUES ('actor_call', 'pykka'), ('actor_cast', 'pykka'), ('spawn_actor', 'pykka'), ('async_await', 'asyncio'), ('async_context', 'asyncio'), ('gather', 'asyncio')) AS t(construct, python)",
 )
-over("supplementals_missing", "orders", lambda n: supplementals.default().missing(n, "python"), "SELECT doc_id, type AS construct FROM nodes WHERE false")
 
 
 over(
@@ -272,8 +297,12 @@ KNOWN["nesting_depth"] = (
 
 
 def queries() -> dict[str, Query]:
+    from treeline import case_queries as _  # noqa: F401  registers its own
+
     return {k: q for k, (q, _) in KNOWN.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from treeline import case_queries as _  # noqa: F401
+
     return {k: s for k, (_, s) in KNOWN.items() if s}

@@ -167,6 +167,16 @@ COMPARISON = {ast.Eq: "==", ast.NotEq: "!=", ast.Lt: "<", ast.LtE: "<=", ast.Gt:
 UNARY = {ast.Not: ("boolean", "not"), ast.USub: ("arithmetic", "-"), ast.UAdd: ("arithmetic", "+"), ast.Invert: ("arithmetic", "~")}
 
 
+def own_nodes(n: ast.AST) -> Iterator[ast.AST]:
+    """What a function's body holds, without the bodies of functions in it."""
+    todo = list(ast.iter_child_nodes(n))
+    while todo:
+        x = todo.pop()
+        yield x
+        if not isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda, ast.ClassDef)):
+            todo += ast.iter_child_nodes(x)
+
+
 class PythonReader:
     """Python's own syntax tree as nodes. Plain, decorated and asynchronous functions and classes become structural nodes."""
 
@@ -176,11 +186,35 @@ class PythonReader:
 
     def read(self, n: ast.AST) -> Node:
         out = getattr(self, f"read_{type(n).__name__}", self.other)(n)
-        out.meta.setdefault("line", getattr(n, "lineno", None))
+        if getattr(n, "lineno", None):
+            out.meta.setdefault("line", n.lineno)
         return out
 
     def other(self, n: ast.AST) -> Node:
-        return native("python", type(n).__name__.lower())
+        """A construct without a type of its own keeps what it holds: its expressions, and statements of a body as one block."""
+        out = native("python", type(n).__name__.lower())
+        out.children = list(self.held(n))
+        return out
+
+    def held(self, n: ast.AST) -> Iterator[Node]:
+        for name, part in ast.iter_fields(n):
+            parts = part if isinstance(part, list) else [part]
+            if parts and all(isinstance(x, ast.stmt) for x in parts):
+                yield from _with_roles([self.body(parts)], (name,))
+                continue
+            for x in parts:
+                if isinstance(x, (ast.expr, ast.pattern)):
+                    yield self.read(x)
+                elif isinstance(x, ast.AST) and not isinstance(x, (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop)):
+                    yield from self.held(x)
+
+    def read_JoinedStr(self, n: ast.JoinedStr) -> Node:
+        """An interpolated string: its literal parts and its expressions joined by an operator."""
+        parts = [self.read(v.value if isinstance(v, ast.FormattedValue) else v) for v in n.values]
+        out = parts[0] if parts else literal("string", "")
+        for x in parts[1:]:
+            out = binary_op("arithmetic", "+", out, x)
+        return out
 
     def read_Module(self, n: ast.Module) -> Node:
         return self.body(n.body)
@@ -200,7 +234,9 @@ class PythonReader:
 
     def read_Compare(self, n: ast.Compare) -> Node:
         if len(n.ops) > 1:
-            return native("python", "chained_comparison")
+            out = native("python", "chained_comparison")
+            out.children = list(self.held(n))
+            return out
         return binary_op("comparison", COMPARISON[type(n.ops[0])], self.read(n.left), self.read(n.comparators[0]))
 
     def read_BoolOp(self, n: ast.BoolOp) -> Node:
@@ -222,8 +258,18 @@ class PythonReader:
         return None
 
     def read_Call(self, n: ast.Call) -> Node:
+        """Keywords are pairs after the arguments; a method of something other than a name has that as its first child."""
+        args = [self.read(a) for a in n.args]
+        for k in n.keywords:
+            args += _with_roles([Node("pair", [literal("symbol", k.arg), self.read(k.value)]) if k.arg else self.read(k.value)], ("keyword",))
         name = self.dotted(n.func)
-        return call(name, *(self.read(a) for a in n.args)) if name else native("python", "call")
+        if name:
+            return call(name, *args)
+        if isinstance(n.func, ast.Attribute):
+            return call(n.func.attr, *_with_roles([self.read(n.func.value)], ("receiver",)), *args)
+        out = native("python", "call")
+        out.children = [self.read(n.func), *args]
+        return out
 
     def read_Attribute(self, n: ast.Attribute) -> Node:
         return attribute_access(n.attr, self.read(n.value))
@@ -253,7 +299,11 @@ class PythonReader:
         return assignment(self.read(n.target), binary_op("arithmetic", ARITHMETIC[type(n.op)], self.read(n.target), self.read(n.value)))
 
     def read_AnnAssign(self, n: ast.AnnAssign) -> Node:
-        return assignment(self.read(n.target), self.read(n.value)) if n.value else native("python", "type_annotation")
+        if n.value:
+            return assignment(self.read(n.target), self.read(n.value))
+        out = native("python", "type_annotation")
+        out.children = [self.read(n.target)]
+        return out
 
     def read_List(self, n: ast.List) -> Node:
         return Node("list", [self.read(x) for x in n.elts])
@@ -265,19 +315,36 @@ class PythonReader:
         return Node("map", [Node("pair", [self.read(k), self.read(v)]) for k, v in zip(n.keys, n.values, strict=True) if k])
 
     def read_While(self, n: ast.While) -> Node:
-        return loop("while", self.read(n.test), self.body(n.body))
+        return self.with_else(loop("while", self.read(n.test), self.body(n.body)), n.orelse)
 
     def read_For(self, n: ast.For) -> Node:
-        return loop("for_each", self.read(n.target), self.read(n.iter), self.body(n.body))
+        return self.with_else(loop("for_each", self.read(n.target), self.read(n.iter), self.body(n.body)), n.orelse)
+
+    def read_AsyncFor(self, n: ast.AsyncFor) -> Node:
+        return Node("async_operation", [self.read_For(n)], meta={"op_type": "async"})
+
+    def with_else(self, out: Node, statements: list[ast.stmt]) -> Node:
+        """What runs after a loop or a try without a break or an exception."""
+        if statements:
+            out.children += _with_roles([self.body(statements)], ("else",))
+        return out
+
+    def params(self, a: ast.arguments) -> list[str]:
+        return [*(x.arg for x in (*a.posonlyargs, *a.args)), *(f"*{a.vararg.arg}" for _ in "x" if a.vararg), *(x.arg for x in a.kwonlyargs), *(f"**{a.kwarg.arg}" for _ in "x" if a.kwarg)]
 
     def read_Lambda(self, n: ast.Lambda) -> Node:
-        return lambda_([a.arg for a in n.args.args], self.read(n.body))
+        return lambda_(self.params(n.args), self.read(n.body))
 
     def read_ListComp(self, n: ast.ListComp) -> Node:
         g = n.generators[0]
-        if len(n.generators) > 1 or g.ifs or not isinstance(g.target, ast.Name):
-            return native("python", "listcomp")
-        return collection_op("map", lambda_([g.target.id], self.read(n.elt)), self.read(g.iter))
+        if len(n.generators) > 1 or len(g.ifs) > 1 or not isinstance(g.target, ast.Name):
+            return self.other(n)
+        source = self.read(g.iter)
+        if g.ifs:
+            source = collection_op("filter", lambda_([g.target.id], self.read(g.ifs[0])), source)
+            if isinstance(n.elt, ast.Name) and n.elt.id == g.target.id:
+                return source
+        return collection_op("map", lambda_([g.target.id], self.read(n.elt)), source)
 
     def read_Try(self, n: ast.Try) -> Node:
         arms = []
@@ -286,16 +353,27 @@ class PythonReader:
             arms.append(match_arm(kind, self.body(h.body)))
             if kind:
                 kind.role = "exception_type"  # a read, not a binding
-        return exception_handling(self.body(n.body), arms, self.body(n.finalbody) if n.finalbody else None)
+        return self.with_else(exception_handling(self.body(n.body), arms, self.body(n.finalbody) if n.finalbody else None), n.orelse)
+
+    def decorated(self, out: Node, n: ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef, more: list[ast.expr]) -> Node:
+        """Decorators come first, and the bases of a class after them."""
+        out.children = [*_with_roles([self.read(d) for d in n.decorator_list], ["decorator"] * len(n.decorator_list)), *_with_roles([self.read(b) for b in more], ["base"] * len(more)), *out.children]
+        return out
 
-    def read_FunctionDef(self, n: ast.FunctionDef) -> Node:
-        return function_def(n.name, [a.arg for a in n.args.args], *(self.read(s) for s in n.body), visibility="private" if n.name.startswith("_") and not n.name.startswith("__") else "public")
+    def read_FunctionDef(self, n: ast.FunctionDef | ast.AsyncFunctionDef) -> Node:
+        private = n.name.startswith("_") and not n.name.startswith("__")
+        out = function_def(n.name, self.params(n.args), *(self.read(s) for s in n.body), visibility="private" if private else "public")
+        if isinstance(n, ast.AsyncFunctionDef):
+            out.meta["kind"] = "async"
+        elif any(isinstance(x, (ast.Yield, ast.YieldFrom)) for x in own_nodes(n)):
+            out.meta["kind"] = "generator"
+        return self.decorated(out, n, [])
 
     def read_AsyncFunctionDef(self, n: ast.AsyncFunctionDef) -> Node:
         return self.read_FunctionDef(n)
 
     def read_ClassDef(self, n: ast.ClassDef) -> Node:
-        return container("class", n.name, *(self.read(s) for s in n.body))
+        return self.decorated(container("class", n.name, *(self.read(s) for s in n.body)), n, n.bases)
 
     def read_Await(self, n: ast.Await) -> Node:
         return Node("async_operation", [self.read(n.value)], meta={"op_type": "await"})
@@ -339,6 +417,35 @@ def read_sources(sources: DataFrame, language: str = "python") -> DataFrame:
     return sources.select(F.col("doc_id").cast("string").alias("doc_id"), "source").mapInArrow(run, SCHEMA)
 
 
+def quote(code: str, language: str = "python") -> Node:
+    """The tree of one source text."""
+    if language not in READERS:
+        raise ValueError(f"no reader for {language}")
+    return READERS[language](code)
+
+
+def supported_languages(spark: SparkSession) -> DataFrame:
+    """(language, extensions, readable): the languages that a file extension names, and whether their source or native trees can be read."""
+    from treeline.sources import native as _  # noqa: F401  registers the readers of native trees
+
+    ends: dict[str, list[str]] = {}
+    for ext, language in EXTENSIONS.items():
+        ends.setdefault(language, []).append(ext)
+    return spark.createDataFrame([(k, sorted(v), k in READERS) for k, v in sorted(ends.items())], "language string, extensions array<string>, readable boolean")
+
+
+def from_file(spark: SparkSession, path: str, language: str | None = None) -> DataFrame:
+    """The node relation of one file or of all known files below a directory, each read by the language that its extension names."""
+    files = read_directory(spark, path)
+    if language is not None:
+        files = files.withColumn("language", F.lit(language))
+    parts = [read_sources(files.filter(F.col("language") == k), k) for k in sorted(READERS) if k in set(EXTENSIONS.values()) or k == language]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def language_of(path: Column) -> Column:
     """The language that a path's extension names, else null."""
     out = F.lit(None).cast("string")

@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.sources.trees import Node, read_sources
+from treeline.model import COLUMNS, SCHEMA
+from treeline.sources.trees import Node, read_sources, rows_of
 
 
 def tree_of(rows: list[dict[str, Any]]) -> Node:
     """The tree of one document's rows in order of place."""
     made: dict[int, Node] = {}
     for r in rows:
-        meta = {k: r[k] for k in ("subtype", "category", "operator", "name", "op_type", "loop_type", "container_type", "visibility", "kind") if r.get(k) is not None}
+        meta = {k: r[k] for k in ("subtype", "category", "operator", "name", "op_type", "loop_type", "container_type", "visibility", "kind", "line") if r.get(k) is not None}
         n = made[r["pre"]] = Node(r["type"], [], r["value"], meta, r["role"], bool(r["in_meta"]))
         if r["parent_pre"] >= 0:
             made[r["parent_pre"]].children.append(n)
@@ -42,7 +43,7 @@ class Python:
             return out + ([f"{pad}else:", *self.block(part["else"], depth + 1)] if "else" in part else [])
         if n.type == "loop":
             head = f"while {self.expr(part['cond'])}" if n.meta.get("loop_type") == "while" else f"for {self.expr(part['iter'])} in {self.expr(part['coll'])}"
-            return [f"{pad}{head}:", *self.block(part["body"], depth + 1)]
+            return [f"{pad}{head}:", *self.block(part["body"], depth + 1), *self.otherwise(part, depth)]
         if n.type in ("assignment", "inline_match"):
             target, value = n.children
             return [f"{pad}{self.expr(target)} = {self.expr(value)}"]
@@ -52,19 +53,32 @@ class Python:
             return [f"{pad}{n.meta.get('kind', 'return')}" + (f" {self.expr(n.children[0])}" if n.children else "")]
         if n.type == "function_def":
             params = ", ".join(str(c.value) for c in n.children if c.type == "param")
-            return [f"{pad}def {n.meta['name']}({params}):", *self.block(Node("block", [c for c in n.children if c.type != "param"]), depth + 1)]
+            start = "async def" if n.meta.get("kind") == "async" else "def"
+            body = Node("block", [c for c in n.children if c.type != "param" and c.role != "decorator"])
+            return [*self.decorators(n, pad), f"{pad}{start} {n.meta['name']}({params}):", *self.block(body, depth + 1)]
         if n.type == "container":
-            return [f"{pad}class {n.meta['name']}:", *self.block(Node("block", n.children), depth + 1)]
+            bases = ", ".join(self.expr(c) for c in n.children if c.role == "base")
+            body = Node("block", [c for c in n.children if c.role not in ("decorator", "base")])
+            return [*self.decorators(n, pad), f"{pad}class {n.meta['name']}{f'({bases})' if bases else ''}:", *self.block(body, depth + 1)]
         if n.type == "exception_handling":
             out = [f"{pad}try:", *self.block(part["try"], depth + 1)]
             for h in (c for c in n.children if c.role == "handler"):
                 kind = next((c for c in h.children if c.role in ("pattern", "exception_type")), None)
                 out += [f"{pad}except{' ' + self.expr(kind) if kind else ''}:", *self.block(Node("block", [c for c in h.children if c.role not in ("pattern", "exception_type")]), depth + 1)]
-            return out + ([f"{pad}finally:", *self.block(part["finally"], depth + 1)] if "finally" in part else [])
+            return out + self.otherwise(part, depth) + ([f"{pad}finally:", *self.block(part["finally"], depth + 1)] if "finally" in part else [])
         if n.type == "language_specific":
             return [f"{pad}pass  # {n.meta.get('kind', 'native')}"]
         return [pad + self.expr(n)]
 
+    def otherwise(self, part: dict[str, Node], depth: int) -> list[str]:
+        return [f"{self.indent * depth}else:", *self.block(part["else"], depth + 1)] if "else" in part else []
+
+    def decorators(self, n: Node, pad: str) -> list[str]:
+        return [f"{pad}@{self.expr(c)}" for c in n.children if c.role == "decorator"]
+
+    def argument(self, n: Node) -> str:
+        return f"{n.children[0].value}={self.expr(n.children[1])}" if n.type == "pair" and n.role == "keyword" else self.expr(n)
+
     def expr(self, n: Node) -> str:
         c = n.children
         if n.type == "literal":
@@ -78,7 +92,9 @@ class Python:
             op = n.meta["operator"]
             return f"({op}{' ' if op.isalpha() else ''}{self.expr(c[0])})"
         if n.type == "function_call":
-            return f"{n.meta['name'].replace(':', '.').replace('!', '').replace('?', '')}({', '.join(map(self.expr, c))})"
+            name, args = n.meta["name"].replace(":", ".").replace("!", "").replace("?", ""), [x for x in c if x.role != "receiver"]
+            on = "".join(f"{self.expr(x)}." for x in c if x.role == "receiver")
+            return f"{on}{name}({', '.join(map(self.argument, args))})"
         if n.type == "attribute_access":
             return f"{self.expr(c[0])}.{n.meta['name']}"
         if n.type in ("list", "tuple"):
@@ -118,6 +134,30 @@ def to_source(nodes: DataFrame, language: str = "python") -> DataFrame:
     return trees.mapInPandas(run, "doc_id string, source string")
 
 
+def rebuilt(nodes: DataFrame, change: Callable[[Node], Node], language: str) -> DataFrame:
+    """The relation with each document's tree put through a function, in the workers."""
+    trees = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pre", *[c for c in COLUMNS if c not in ("doc_id", "pre")]))).alias("rows"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [r for k, t in zip(f["doc_id"], f["rows"], strict=True) for r in rows_of(k, change(tree_of([x.asDict() if hasattr(x, "asDict") else dict(x) for x in t])), language)]
+            yield pd.DataFrame(rows, columns=list(COLUMNS)).astype({"line": "Int32"})
+
+    return trees.mapInPandas(run, SCHEMA)
+
+
+def unquote(tree: Node, language: str = "python") -> str:
+    """The source text of one tree."""
+    if language not in WRITERS:
+        raise ValueError(f"no writer for {language}")
+    return WRITERS[language]().source(tree)
+
+
+def to_files(nodes: DataFrame, path: str, language: str = "python") -> None:
+    """Writes each document's source as a row of text files below a path, with its id as a folder."""
+    to_source(nodes, language).select("doc_id", F.col("source").alias("value")).write.partitionBy("doc_id").text(path)
+
+
 def translate(sources: DataFrame, language: str, target: str = "python") -> DataFrame:
     """Source in one language to source in another, by way of nodes."""
     return to_source(read_sources(sources, language), target)

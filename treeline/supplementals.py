@@ -9,13 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.model import CORE, EXTENDED, NATIVE, STRUCTURAL
-from treeline.sources.trees import Node, attribute_access, call, variable
+from treeline.sources.trees import Node, call
 
 
 class Conflict(ValueError):
     """Two supplementals claim one construct of a language."""
 
 
+class Incompatible(ValueError):
+    """A supplemental's transform gives something that is no node."""
+
+
+class Unsupported(LookupError):
+    """No supplemental is known for a language at all."""
+
+
 class Missing(LookupError):
     """No supplemental gives a construct that a document needs."""
 
@@ -45,8 +53,38 @@ class Supplementals:
     def transform(self, n: Node, language: str) -> Node:
         found = self.by.get((language, n.type))
         if found is None:
-            raise Missing(f"{n.type} of {language}")
-        return found.transform(n)
+            raise (Missing if any(lang == language for lang, _ in self.by) else Unsupported)(f"{n.type} of {language}")
+        out = found.transform(n)
+        if not isinstance(out, Node):
+            raise Incompatible(f"{found.name} gives {type(out).__name__} for {n.type}")
+        return out
+
+    def available(self, construct: str, language: str) -> bool:
+        return (language, construct) in self.by
+
+    def transformed(self, n: Node, language: str) -> Node:
+        """The whole tree with every construct that a supplemental gives in place of it."""
+        out = self.transform(n, language) if self.available(n.type, language) else n
+        out.children = [self.transformed(c, language) for c in out.children]
+        return out
+
+    def transform_nodes(self, nodes: DataFrame, language: str) -> DataFrame:
+        """The relation with the constructs replaced: documents that hold one are rebuilt in the workers, the others stay as they are."""
+        from treeline.sources.unparse import rebuilt
+
+        mine = sorted(c for lang, c in self.by if lang == language)
+        held = nodes.filter(F.col("type").isin(*mine)).select("doc_id").distinct()
+        return nodes.join(held, "doc_id", "left_anti").unionByName(rebuilt(nodes.join(held, "doc_id", "left_semi"), lambda n: self.transformed(n, language), language))
+
+    def matrix_text(self, spark: SparkSession, markdown: bool = False) -> str:
+        """The matrix as text, or as a Markdown table; of the size of the registry."""
+        table = self.matrix(spark).orderBy("construct")
+        rows = [table.columns, *([x or "-" for x in r] for r in table.collect())]
+        if markdown:
+            rows.insert(1, ["---"] * len(table.columns))
+            return "\n".join("| " + " | ".join(r) + " |" for r in rows)
+        width = [max(len(r[i]) for r in rows) for i in range(len(table.columns))]
+        return "\n".join("  ".join(x.ljust(w) for x, w in zip(r, width, strict=True)).rstrip() for r in rows)
 
     def rows(self, spark: SparkSession) -> DataFrame:
         """(language, construct, supplemental); of the size of the registry."""
@@ -76,7 +114,7 @@ def _asyncio(n: Node) -> Node:
         return call("asyncio.gather", *n.children)
     if n.type == "async_await":
         return Node("async_operation", n.children[:1], meta={"op_type": "await"})
-    return attribute_access("context", variable("asyncio"))
+    return call("asyncio.Runner", *n.children)
 
 
 PYKKA = Supplemental("pykka", "python", ("actor_call", "actor_cast", "spawn_actor"), _actor, ("pykka >= 3.0",), "actors")
