@@ -68,11 +68,13 @@ def test_skewed_vectors_stop_early():
     n, d = 8_000, 32
     skewed = rng.integers(-3, 4, (n, d))
     skewed[np.arange(n), rng.integers(0, d, n)] = (rng.pareto(0.7, n) * 50).astype(int) + 10
-    depths = {}
+    depths, left = {}, {}
     for name, rows in (("skewed", skewed), ("spread", rng.integers(-90, 90, (n, d)))):
         lists = Lists(np.arange(n), np.arange(n), rows)
-        depths[name] = np.mean([lists.search(rows[q], q, 5)[2] for q in range(20)])
-    assert depths["skewed"] < 0.25 and 2 * depths["skewed"] < depths["spread"] < 1
+        got = [lists.search(rows[q], q, 5) for q in range(20)]
+        depths[name], left[name] = np.mean([d for _, _, d in got]), np.mean([len(may) for may, _, _ in got])
+    assert depths["skewed"] < 0.25 and left["skewed"] < n / 20
+    assert depths["spread"] < 1 and left["spread"] > n / 2
 
 
 def test_large_components(spark):

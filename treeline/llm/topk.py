@@ -9,13 +9,14 @@ plus the values at which those lists have been left. The k-th best lower bound,
 is what an outsider has to reach. When no unseen candidate can, reading stops as soon as the candidates that still can are few, or looking them
 up costs no more than the next stretch; their final scores are then resolved. `depth` is the part of the lists that has been read.
 
-On spread-out vectors of many components bounds are loose and lists are read to over half, more than a matrix product would cost; skewed
-vectors, with few large components, stop early.
+On spread-out vectors of many components bounds are loose: once no unseen candidate can qualify, which takes a fifth of the lists, most of
+those that have been seen still can, and looking them up costs less than reading on. Skewed vectors, with few large
+components, stop early with few candidates left.
 
 Scale: the work is queries x candidates at worst, as an exact search over a stated query set is. Neither side is copied for each block
 of the other: candidates are read once for each block of queries and never shuffled; each task hands on k rows for each query.
 
-Numbers are whole: pairs whose scores might pass 62 bits are multiplied as Python's integers, and a score beyond a long counts as the
+Numbers are whole: scores that doubles might not hold exactly are made of Python's integers, and a score beyond a long counts as the
 nearest long. Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do rows with a null id; a
 missing component counts as 0; identical rows count once; candidates never include rows with the query's own id; with fewer than k
 candidates all are returned; ties go to the smaller id; an empty table, or one without queries, gives an empty result; other columns are
@@ -38,10 +39,13 @@ QUERY_NUMBERS = 4 << 20
 #: Candidates whose lists are sorted together.
 BLOCK = 8_192
 #: The first stretch of a list; candidates that are looked up whatever the next stretch costs.
-FIRST, FEW = 16, 32
+FIRST, FEW = 128, 32
+#: Numbers of a candidate that can be looked up in the time in which one entry of a list is read.
+LOOKUPS = 24
 #: A round reads the lists that hold this part of what can still change scores.
 PART = 0.75
-LARGE, HIGH = 1 << 62, (1 << 63) - 1
+#: Whole numbers below this are exact as doubles.
+LARGE, HIGH = float(1 << 53), (1 << 63) - 1
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -60,57 +64,83 @@ def matrix(lists: pa.ListArray, width: int, scale: int) -> np.ndarray:
     return out
 
 
+def dot(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The matrix times the vector in this thread alone: a task has one core."""
+    return np.einsum("ij,j->i", a, x.astype(np.float64))
+
+
 class Lists:
-    """Candidates (ids, hashes, whole numbers in rows) with one sorted list for each component."""
+    """Candidates (ids, hashes, whole numbers in rows) with one sorted list for each component.
 
-    def __init__(self, ids: np.ndarray, hashes: np.ndarray, rows: np.ndarray):
-        self.ids, self.hashes, self.rows = ids, hashes, rows
-        self.order = np.ascontiguousarray(np.argsort(rows, axis=0, kind="stable").T)
-        self.values = np.ascontiguousarray(np.take_along_axis(rows.T, self.order, axis=1))
+    Sums are made of doubles and are exact, as callers see to it that none passes LARGE.
+    """
 
-    def search(self, query: np.ndarray, own: int, k: int, floor: int = -LARGE) -> tuple[np.ndarray, np.ndarray, float]:
+    def __init__(self, ids: np.ndarray, hashes: np.ndarray, rows: np.ndarray):
+        self.ids, self.hashes, self.rows = ids, hashes, rows.astype(np.float64)
+        low = np.ascontiguousarray(np.argsort(rows, axis=0, kind="stable").T)
+        values = np.ascontiguousarray(np.take_along_axis(self.rows.T, low, axis=1))
+        #: Places and values of each list from its bottom (0) and from its top (1).
+        self.places = (low, np.ascontiguousarray(low[:, ::-1]))
+        self.values = (values, np.ascontiguousarray(values[:, ::-1]))
+        #: A candidate's place in each list from its bottom.
+        self.rank = np.empty(self.rows.shape, np.int32)
+        np.put_along_axis(self.rank, low.T, np.arange(len(rows), dtype=np.int32)[:, None], axis=0)
+
+    def search(self, query: np.ndarray, own: int, k: int, floor: float = -LARGE) -> tuple[np.ndarray, np.ndarray, float]:
         """(places, scores, depth): all candidates that may be among the k best at or above the floor; a few more may come with them."""
         n = len(self.rows)
         dims = np.flatnonzero(query)
-        weights = query[dims]
+        weights = query[dims].astype(np.float64)
         fits = self.ids != own
         if not len(dims) or n <= max(k, FEW):
             places = np.flatnonzero(fits)
-            return places, self.rows[places] @ query, 0.0
+            return places, dot(self.rows[places], query), 0.0
         up = weights > 0
-        worst = weights * np.where(up, self.values[dims, 0], self.values[dims, -1])
-        edge = weights * np.where(up, self.values[dims, -1], self.values[dims, 0])  # where each list has been left
-        at = np.zeros(len(dims), np.int64)
-        stretch = np.full(len(dims), FIRST)
-        read, read_worst, read_edge = (np.zeros(n, np.int64) for _ in range(3))
-        seen = np.zeros(n, bool)
+        first, last = self.values[0][dims, 0], self.values[0][dims, -1]
+        worst, edge = weights * np.where(up, first, last), weights * np.where(up, last, first)  # edge: where each list has been left
+        at, stretch = np.zeros(len(dims), np.int64), np.full(len(dims), FIRST)
+        read, seen = np.zeros(n), np.zeros(n, bool)
         to_reach, may = floor, np.zeros(0, np.int64)
+
+        def bounds(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The least and the most that the scores of some candidates can be: what the lists that have not shown them can add at worst and at best."""
+            places = self.rank[which][:, dims]
+            hidden = (np.where(up, n - 1 - places, places) >= at).astype(np.float64)
+            return read[which] + dot(hidden, worst), read[which] + dot(hidden, edge)
+
         while (slack := edge - worst).any():
             chosen = np.argsort(-slack, kind="stable")
             chosen = chosen[: 1 + int(np.searchsorted(np.cumsum(slack[chosen]), PART * slack.sum()))]
-            for i in chosen.tolist():
-                d, a, b = dims[i], int(at[i]), min(n, int(at[i] + stretch[i]))
-                order, values = (self.order[d][::-1], self.values[d][::-1]) if up[i] else (self.order[d], self.values[d])
-                new, last = order[a:b], weights[i] * values[b - 1]
-                read_edge[order[:a]] += last - edge[i]
-                read[new] += weights[i] * values[a:b]
-                read_worst[new] += worst[i]
-                read_edge[new] += last
-                seen[new] = True
-                at[i], edge[i], stretch[i] = b, last, 2 * stretch[i]
-            known = np.flatnonzero(seen & fits)
-            least = read[known] + (worst.sum() - read_worst[known])
-            most = read[known] + (edge.sum() - read_edge[known])
-            if len(known) >= k:
-                to_reach = max(floor, int(np.partition(least, len(least) - k)[len(least) - k]))
-            may = known[most >= to_reach]
-            if seen.all() or edge.sum() < to_reach:
-                if len(may) <= FEW + k or len(may) * len(dims) <= np.minimum(stretch, n - at)[chosen].sum():
-                    break
+            for a, way in {(int(at[i]), bool(up[i])) for i in chosen}:
+                # Lists that are read from the same place on in the same direction are read together.
+                some = chosen[(at[chosen] == a) & (up[chosen] == way)]
+                b = min(n, a + int(stretch[some[0]]))
+                found, values = self.places[way][dims[some], a:b], weights[some, None] * self.values[way][dims[some], a:b]
+                flat = found.ravel()
+                read += np.bincount(flat, weights=values.ravel(), minlength=n)
+                seen[flat] = True
+                edge[some], at[some], stretch[some] = values[:, -1], b, 2 * stretch[some]
+            # The best few of what has been read give a bound that the k-th best is not below.
+            likely = np.argpartition(np.where(fits, read, -np.inf), n - 2 * k)[n - 2 * k :] if n > 2 * k else np.arange(n)
+            likely = likely[(seen & fits)[likely]]
+            if len(likely) >= k:
+                least, _ = bounds(likely)
+                to_reach = max(to_reach, float(np.partition(least, len(least) - k)[len(least) - k]))
+            if not seen.all() and edge.sum() >= to_reach:
+                continue
+            # No unseen candidate can be among the best: reading on only serves to leave fewer to be looked up.
+            may, cheap = np.flatnonzero(seen & fits), LOOKUPS * np.minimum(stretch, n - at)[chosen].sum()
+            if len(may) * len(dims) > cheap:
+                least, most = bounds(may)
+                if len(may) >= k:
+                    to_reach = max(to_reach, float(np.partition(least, len(least) - k)[len(least) - k]))
+                may = may[most >= to_reach]
+            if len(may) <= FEW + k or len(may) * len(dims) <= cheap:
+                break
         else:  # what is left of every list is one value, and an unseen candidate has it in all of them
-            if edge.sum() >= to_reach:
-                may = np.union1d(may, np.flatnonzero(~seen & fits))
-        return may, self.rows[may] @ query, float(at.sum()) / (n * len(dims))
+            may = np.flatnonzero(fits) if edge.sum() >= to_reach else np.flatnonzero(seen & fits)
+        scores = dot(self.rows, query)[may] if 2 * len(may) > n else dot(self.rows[may], query)
+        return may, scores, float(at.sum()) / (n * len(dims))
 
 
 def best_of(ids: np.ndarray, hashes: np.ndarray, scores: list[int] | np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -137,16 +167,19 @@ class Search:
         if self.queries.shape[1] < width:
             self.queries = np.pad(self.queries, ((0, 0), (0, width - self.queries.shape[1])))
         most = np.abs(rows).max(axis=1, initial=0)
-        # Of rows whose sums might pass 62 bits with some query, or of such queries, every score is made of Python's integers.
-        usual = self.most < 2.0**26
+        # Of rows whose sums might not be exact with some query, or of such queries, every score is made of Python's integers.
+        usual = self.most < 2.0**24
         plain = most * max(1.0, float(self.most[usual].max(initial=0))) * width < LARGE
-        lists = Lists(ids[plain], hashes[plain], rows[plain].astype(np.int64)) if plain.any() else None
+        lists = Lists(ids[plain], hashes[plain], rows[plain]) if plain.any() else None
         self.blocks += 1
         for q in range(len(self.ids)):
             got, own = self.best[q], int(self.ids[q])
             if usual[q] and lists:
-                floor = max(-LARGE, min(LARGE, got[-1][0])) if len(got) == self.k else -LARGE
-                may, scores, depth = lists.search(self.queries[q].astype(np.int64), own, self.k, floor)
+                floor = max(-LARGE, min(LARGE, float(got[-1][0]))) if len(got) == self.k else -LARGE
+                may, scores, depth = lists.search(self.queries[q], own, self.k, floor)
+                if len(may) > 4 * self.k:  # ties at the last place stay
+                    least = np.partition(scores, len(may) - self.k)[len(may) - self.k]
+                    may, scores = may[scores >= least], scores[scores >= least]
                 got = got + best_of(lists.ids[may], lists.hashes[may], scores, self.k)
                 self.depth[q] += depth
             others = np.flatnonzero((~plain if usual[q] else np.ones(len(ids), bool)) & (ids != own))
