@@ -35,9 +35,7 @@ def earlier(nodes: DataFrame) -> DataFrame:
         ("validated", calls, R.VALIDATION), ("owned", C("said"), R.OWNERSHIP), ("authorized", C("said"), R.AUTHORIZATION), ("csrf", C("said"), R.CSRF), ("queried", calls, R.QUERY_CALLS),
         ("upload_checked", calls, R.UPLOAD_CHECKS),
     )
-    for name, text, words in seen:
-        nodes = nodes.withColumn(name, F.coalesce(F.max(F.when(has_any(text, words), 1)).over(walked(-1)), F.lit(0)) == 1)
-    return nodes
+    return nodes.withColumns({name: F.coalesce(F.max(F.when(has_any(text, words), 1)).over(walked(-1)), F.lit(0)) == 1 for name, text, words in seen})
 
 
 def args(nodes: DataFrame) -> DataFrame:
@@ -80,11 +78,10 @@ def siblings(nodes: DataFrame) -> DataFrame:
     whole = family.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     call = is_a("function_call")
     checks = (call & has_any(C("name"), R.AUTHORIZES)) | (is_a("conditional") & has_any(C("first_moving"), R.AUTHORIZES))
-    nodes = nodes.withColumn("checks", F.coalesce(checks, F.lit(False))).withColumn("acts", F.coalesce(call & has_any(C("name"), R.SENSITIVE), F.lit(False)))
-    nodes = nodes.withColumn("first_check", F.min(F.when(C("checks") & ~C("acts"), C("ix"))).over(whole)).withColumn("first_act", F.min(F.when(C("acts"), C("ix"))).over(whole))
-    for name, column in (("next_type", "type"), ("next_op", "op_type"), ("next_coll", "coll_variable")):
-        nodes = nodes.withColumn(name, F.lead(column).over(family))
-    return nodes
+    nodes = nodes.withColumns({"checks": F.coalesce(checks, F.lit(False)), "acts": F.coalesce(call & has_any(C("name"), R.SENSITIVE), F.lit(False))})
+    first = lambda when: F.min(F.when(when, C("ix"))).over(whole)
+    after = {name: F.lead(column).over(family) for name, column in (("next_type", "type"), ("next_op", "op_type"), ("next_coll", "coll_variable"))}
+    return nodes.withColumns({"first_check": first(C("checks") & ~C("acts")), "first_act": first(C("acts")), **after})
 
 
 GROUPS: dict[str, Callable[[DataFrame], DataFrame]] = {"op": lambda n: enrich(n).drop("op_framework", "op_target", "op_entity"), "context": with_context, "earlier": earlier, "args": args, "below": below, "siblings": siblings}
@@ -145,11 +142,14 @@ def toctou(nodes: DataFrame) -> DataFrame:
     last = F.element_at(F.split(C("name"), r"\."), -1)
     kind = lambda table: F.coalesce(*[F.when(C("name").isin(*words) | last.isin(*words), k) for k, words in table.items()])
     kinds = F.filter(F.array(*[F.when(C("name").isin(*words) | last.isin(*words), F.lit(k)) for k, words in R.USES.items()]), lambda x: x.isNotNull())
-    named = nodes.filter(is_a("variable", "literal")).groupBy(C("doc_id").alias("d"), C("parent_pre").alias("u")).agg(F.collect_set("value").alias("resources"))
-    calls = nodes.filter(is_a("function_call")).join(named, (C("doc_id") == C("d")) & (C("pre") == C("u")), "left").drop("d", "u")
+    # Few calls check or use anything: they are picked first, so that all joins have a small side, which adaptive execution broadcasts.
+    calls = nodes.filter(is_a("function_call")).withColumn("checked", kind(R.CHECKS)).withColumn("used", kinds).filter(C("checked").isNotNull() | (F.size("used") > 0))
+    calls = calls.select("doc_id", "pre", "size", "role", "ix", "parent_pre", "checked", "used")
+    named = nodes.filter(is_a("variable", "literal")).select(C("doc_id").alias("d"), C("parent_pre").alias("u"), "value")
+    named = calls.select("doc_id", "pre").join(named, (C("doc_id") == C("d")) & (C("pre") == C("u"))).groupBy("d", "u").agg(F.collect_set("value").alias("resources"))
+    calls = calls.join(named, (C("doc_id") == C("d")) & (C("pre") == C("u")), "left").drop("d", "u")
     parents = nodes.select(C("doc_id").alias("d"), C("pre").alias("p"), C("type").alias("p_type"), C("parent_pre").alias("p_up"), C("ix").alias("p_ix"), C("role").alias("p_role"), (C("pre") + C("size")).alias("p_end"))
     calls = calls.join(parents, (C("doc_id") == C("d")) & (C("parent_pre") == C("p"))).drop("d", "p")
-    calls = calls.withColumn("checked", kind(R.CHECKS)).withColumn("used", kinds).filter(C("checked").isNotNull() | (F.size("used") > 0))
     # The statement that a call is, or is the value of.
     value = C("p_type").isin("assignment", "inline_match") & (C("role") == "value")
     calls = calls.withColumn("block", F.when(value, C("p_up")).otherwise(C("parent_pre"))).withColumn("at", F.when(value, C("p_ix")).otherwise(C("ix")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from treeline.storage import once
+
 _COLS = "doc_id, pre, parent_pre, ix, depth, size, n_children, role, type, subtype, value, category, operator, name, op_type, loop_type, container_type, visibility, kind, language, line, nest, in_meta"
 
 
@@ -103,9 +105,10 @@ TABLES = {"orders": ("lineitem", ORDERS), "events": ("events", EVENTS), "pages":
 
 
 def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The node relation of a derived corpus."""
+    """The node relation of a derived corpus; it is built once for each folder of tables and read by all queries over it."""
     source, sql = TABLES[name]
-    return spark.sql(f"WITH {sql} SELECT {_COLS} FROM nodes".replace(f"FROM {source}", f"FROM {{{source}}}"), **{source: spark.read.parquet(f"{sf_dir}/{source}.parquet")})
+    nodes = spark.sql(f"WITH {sql} SELECT {_COLS} FROM nodes".replace(f"FROM {source}", f"FROM {{{source}}}"), **{source: spark.read.parquet(f"{sf_dir}/{source}.parquet")})
+    return once(f"{name} of {sf_dir}", nodes, "doc_id", "pre")
 
 
 def oracle(name: str, query: str) -> str:
