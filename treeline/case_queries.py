@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline import supplementals
+from treeline import runner, supplementals
 from treeline.functions import semantic
 from treeline.operators import business, classes, clones, documents, metrics, results
 from treeline.queries import KNOWN
@@ -115,6 +115,14 @@ over_cases(
 )
 over_cases("cohesion_warnings", CLASSES, lambda n: classes.cohesion_warnings(documents.cohesion(n)).select("doc_id", "lcom", "warnings"), [("account", 1, ""), ("leak", 0, "few_methods"), ("data", 5, "low_tcc"), ("plain", 0, "few_methods"), ("wide", 0, "few_methods")], "document, lcom, warnings")
 
+over_cases(
+    "runner_issues", {"three": "eval(input())\nx = y * 42", "one": "x = y * 42", "dead": "def f(x):\n    return x\n    g(x)", "none": "f(x)"}, lambda n: runner.run(n, max_issues=1).select("doc_id", "analyzer", "category", "severity"),
+    [("three", "improper_input_validation", "security", "warning"), ("one", "magic_numbers", "readability", "info")], "document, analyzer, category, severity",
+)
+over_cases(
+    "runner_halted", {"three": "eval(input())\nx = y * 42", "one": "x = y * 42"}, lambda n: runner.run(n, ("security", "taint", "magic_numbers"), halt_on_error=True).select("doc_id", "analyzer"), [("three", "security"), ("one", "magic_numbers")], "document, analyzer",
+)
+
 over_cases(
     "conformance_cases",
     {

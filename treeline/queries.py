@@ -159,9 +159,6 @@ over(
     SELECT doc_id, pre, line, 'hardcoded_value' AS analyzer, 'security' AS category, 'warning' AS severity FROM nodes WHERE type = 'literal' AND regexp_matches(value, '^https?://[^\\s]+$') AND NOT regexp_matches(value, '^https?://(localhost|127\\.0\\.0\\.1|0\\.0\\.0\\.0)')
     UNION ALL SELECT doc_id, pre, line, 'inline_javascript', 'security', 'error' FROM nodes WHERE type = 'literal' AND {_any("value", R.INLINE_SCRIPT)})""",
 )
-over("business_logic_orders", "orders", business.analyze)
-over("business_logic_nations", "nations", business.analyze)
-over("runner_issues", "events", lambda n: runner.run(n, max_issues=20))
 over("runner_summary", "orders", lambda n: runner.summary(runner.run(n, ("dead_code", "magic_numbers"))),
      """SELECT severity, category, analyzer, count(*) AS n FROM (
      SELECT 'info' AS severity, 'readability' AS category, 'magic_numbers' AS analyzer FROM nodes n JOIN nodes p ON n.doc_id = p.doc_id AND n.parent_pre = p.pre AND p.type IN ('binary_op', 'unary_op') WHERE n.type = 'literal' AND (n.subtype = 'float' OR (n.subtype = 'integer' AND n.value NOT IN ('0', '1', '-1')))
@@ -255,7 +252,11 @@ over_parts(
     f"SELECT {_PART}, 'n_plus_one_query' AS analyzer, 'warning' AS severity FROM part UNION ALL SELECT {_PART}, 'swallowing_exception', 'warning' FROM part WHERE p_size % 2 = 1",
 )
 over_parts("parts_purity", lambda n: documents.purity(n).select("doc_id", "effects", "purity"), f"SELECT {_PART}, CASE WHEN p_size % 5 = 0 OR p_size % 7 <> 0 THEN 'database,exception,io,mutation' ELSE 'database,exception,mutation' END AS effects, 'impure' AS purity FROM part")
-over_parts("parts_inspect", lambda n: primitives.inspect(n).select("doc_id", "language", "variables"), None)
+over_parts(
+    "parts_inspect", lambda n: primitives.inspect(n).select("doc_id", "language", "variables"),
+    f"""SELECT {_PART}, 'python' AS language, concat_ws(',', 'ValueError', 'a', CASE WHEN p_size % 4 >= 1 THEN 'b' END, 'c', CASE WHEN p_size % 3 = 2 OR p_size % 4 = 3 THEN 'd' END, CASE WHEN p_size % 2 = 0 THEN 'e' END,
+    'flag', 'y', 'ys', 'zs') AS variables FROM part""",
+)
 KNOWN["parts_round_trip"] = (lambda spark, sf_dir: round_trip(parts_sources(spark, sf_dir)), f"SELECT {_PART}, true AS stable FROM part")
 KNOWN["parts_valid_source"] = (lambda spark, sf_dir: valid_source(to_source(read_sources(parts_sources(spark, sf_dir)))), f"SELECT {_PART}, true AS valid FROM part")
 
