@@ -112,6 +112,12 @@ def test_control_flow_graph(spark):
     n = nodes_of(spark, {"line": block(call("f"), call("g")), "loop": block(loop("while", variable("c"), call("f")), call("g"))})
     got = {r.doc_id: (r.nodes, r.edges, r.cyclic) for r in graph.graph_summary(graph.control_flow(n)).collect()}
     assert got == {"line": (4, 3, False), "loop": (5, 5, True)}
+    deep = call("f")
+    for _ in range(3000):
+        deep = conditional(variable("c"), deep)
+    summary = graph.graph_summary(graph.control_flow(nodes_of(spark, {"deep": deep}))).first()
+    assert summary.all_reached and summary.nodes == 3003
+    assert graph.as_d3(graph.control_flow(n)).filter("doc_id = 'line'").first().json.startswith('{"nodes":[{"id":0}')
     assert "digraph" in graph.as_dot(graph.control_flow(n)).first().dot
 
 

@@ -12,9 +12,15 @@ from treeline import runner, supplementals
 from treeline.functions import semantic
 from treeline.operators import business, classes, clones, documents, metrics, results
 from treeline.queries import KNOWN
-from treeline.sources.cases import BUSINESS, answers, name, over_nations, tree
+from treeline.sources.cases import BUSINESS, answers, name, over_nations, sources_over_nations, tree
+from treeline.sources.unparse import translate, valid_source
 
 C = F.col
+#: Sources that are written as they were read.
+WRITTEN = {
+    "loop": "for x in xs:\n    f(x)\nelse:\n    g()", "class": "@a.b(1)\nclass K(B):\n    def f(self, x):\n        return x", "call": "f(x, y=1)", "method": "a().b(c)", "try": "try:\n    f()\nexcept E:\n    g()\nelse:\n    h()\nfinally:\n    i()",
+    "async": "async def f(x):\n    await g(x)", "values": "x = [1, 'a', None, True]", "if": "if a:\n    f()\nelse:\n    g()",
+}
 #: Rules that can't hold on uniform nodes, and that compat="reference" therefore leaves silent.
 SILENT = ("missing_error_handling", "missing_handle_async", "missing_telemetry_in_auth_plug", "missing_throttle", "silent_error_case", "unmanaged_task")
 
@@ -133,6 +139,23 @@ over_cases(
     [("good", True, 0), ("one_child", False, 1), ("category", False, 1), ("number", False, 1), ("unknown", False, 1), ("nested", False, 2), ("null", True, 0)],
     "document, conforms, n_bad",
 )
+KNOWN["valid_sources"] = (
+    lambda spark, sf_dir: valid_source(sources_over_nations(spark, sf_dir, {"good": "x = 1", "open": "x = (", "words": "not python at all", "empty": "", "indent": " x = 1"})),
+    answers([("good", True), ("open", False), ("words", False), ("empty", True), ("indent", False)], "document, valid"),
+)
+KNOWN["written_sources"] = (
+    lambda spark, sf_dir: translate(sources_over_nations(spark, sf_dir, WRITTEN), "python"),
+    answers([(k, v + "\n") for k, v in WRITTEN.items()], "document, source"),
+)
+
+BODIES = {"one": "def f(x):\n    if x:\n        g(x)", "two": "def f(x):\n    if x:\n        g(x)\n    h(x)", "nested": "class A:\n    def f(x):\n        if x and y:\n            g(x)", "plain": "if x:\n    g(x)\nh(x)"}
+over_cases("cyclomatic_bodies", BODIES, metrics.cyclomatic, [("one", 2), ("two", 2), ("nested", 3), ("plain", 2)], "document, cyclomatic")
+over_cases("cyclomatic_reference", BODIES, lambda n: metrics.cyclomatic(n, "reference"), [("one", 2), ("two", 1), ("nested", 3), ("plain", 2)], "document, cyclomatic")
+over_cases("halstead_reference", BODIES, lambda n: metrics.halstead(n, "reference").select("doc_id", "n1", "n2"), [("one", 4, 3), ("two", 2, 1), ("nested", 6, 5), ("plain", 2, 3)], "document, n1, n2")
+over_cases(
+    "halstead_unwrapped", {"def": "def f(x):\n    return x", "class": "class A:\n    x = 1", "plain": "f(x)"}, lambda n: metrics.halstead(metrics.unwrapped(n)).select("doc_id", "n1", "n2"), [("def", 1, 1), ("class", 1, 2), ("plain", 1, 2)], "document, n1, n2",
+)
+
 over_cases(
     "supplementals_missing", {"teapot": tree("block", tree("teapot"), name("x")), "given": tree("block", tree("actor_call", name("x")))},
     lambda n: supplementals.default().missing(n, "python"), [("teapot", "teapot")], "document, construct",

@@ -1,68 +1,92 @@
 """Control-flow graphs: nodes and edges of each document, what the entry reaches, cycles, and exports.
 
-A graph never leaves its document, so each is built in one call over the document's own rows and its size is bounded by them.
+A graph never leaves its document: the document's rows are gathered in one value, which its own size bounds, and workers go through batches of
+documents. Trees are walked with a stack of their own, so that deep ones don't matter.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Generator, Iterator
+from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EDGES = "doc_id string, source int, target int, label string, reached boolean, back boolean"
+Ends = list[tuple[int, str | None]]
+Row = dict[str, Any]
 
 
-def _edges(rows: pd.DataFrame) -> pd.DataFrame:
-    below: dict[int, list] = defaultdict(list)
-    for r in rows.sort_values(["parent_pre", "ix"]).itertuples():
-        below[r.parent_pre].append(r)
+def edges_of(rows: list[Row]) -> list[tuple[int, int, str | None, bool, bool]]:
+    """(source, target, label, reached, back) of one document's rows; node 0 is the entry, the largest the exit. A return does not end the flow."""
+    below: dict[int, list[Row]] = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["parent_pre"], r["ix"])):
+        below[r["parent_pre"]].append(r)
     edges: list[tuple[int, int, str | None]] = []
-    number = iter(range(len(rows) * 3 + 3))
-    entry = next(number)
-
-    def walk(r, ends: list[tuple[int, str | None]]) -> list[tuple[int, str | None]]:
-        """Adds a statement after the open ends; returns the ends that it leaves open. A return does not end the flow."""
-        if r.type in ("block", "container", "function_def"):
-            for c in below[r.pre]:
-                if not c.in_meta:
-                    ends = walk(c, ends)
+    made = 1
+
+    def statement(r: Row, ends: Ends) -> Generator[tuple[Row, Ends], Ends, Ends]:
+        """Adds a statement after the open ends; gives the ends that it leaves open. What it yields is done before it goes on."""
+        nonlocal made
+        if r["type"] in ("block", "container", "function_def"):
+            for c in below[r["pre"]]:
+                if not c["in_meta"]:
+                    ends = yield c, ends
             return ends
-        at = next(number)
+        at, made = made, made + 1
         edges.extend((e, at, label) for e, label in ends)
-        if r.type == "conditional":
-            out = []
-            parts = {c.role: c for c in below[r.pre]}
+        if r["type"] == "conditional":
+            out: Ends = []
+            parts = {c["role"]: c for c in below[r["pre"]]}
             for role in ("then", "else"):
-                out += walk(parts[role], [(at, role)]) if role in parts else [(at, role)]
+                if role in parts:
+                    out += yield parts[role], [(at, role)]
+                else:
+                    out.append((at, role))
             return out
-        if r.type == "loop":
-            for c in below[r.pre]:
-                if c.role == "body":
-                    edges.extend((e, at, "loop_back") for e, _ in walk(c, [(at, None)]))
+        if r["type"] == "loop":
+            for c in below[r["pre"]]:
+                if c["role"] == "body":
+                    last = yield c, [(at, None)]
+                    edges.extend((e, at, "loop_back") for e, _ in last)
             return [(at, "exit")]
         return [(at, None)]
 
-    root = below[-1][0]
-    ends = walk(root, [(entry, None)])
-    last = next(number)
-    edges.extend((e, last, label) for e, label in ends)
+    stack = [statement(below[-1][0], [(0, None)])]
+    given: Ends | None = None
+    while stack:
+        try:
+            stack.append(statement(*stack[-1].send(given)))
+            given = None
+        except StopIteration as done:
+            given = done.value
+            stack.pop()
+    edges.extend((e, made, label) for e, label in given or [])
     after: dict[int, list[int]] = defaultdict(list)
     for a, b, _ in edges:
         after[a].append(b)
-    reached, todo = {entry}, [entry]
+    reached, todo = {0}, [0]
     while todo:
         for b in after[todo.pop()]:
             if b not in reached:
                 reached.add(b)
                 todo.append(b)
-    return pd.DataFrame([(rows.doc_id.iloc[0], a, b, label, a in reached, label == "loop_back") for a, b, label in edges], columns=["doc_id", "source", "target", "label", "reached", "back"])
+    return [(a, b, label, a in reached, label == "loop_back") for a, b, label in edges]
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
+    for b in batches:
+        found = [(k, *e) for k, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for e in edges_of(rows)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(kinds)], names=["doc_id", "source", "target", "label", "reached", "back"])
 
 
 def control_flow(nodes: DataFrame) -> DataFrame:
     """(doc_id, source, target, label, reached, back): the edges of each document's graph; node 0 is the entry, the largest the exit."""
-    return nodes.select("doc_id", "pre", "parent_pre", "ix", "type", "role", "in_meta").groupBy("doc_id").applyInPandas(_edges, EDGES)
+    rows = F.collect_list(F.struct("pre", "parent_pre", "ix", "type", "role", "in_meta"))
+    return nodes.groupBy("doc_id").agg(rows.alias("rows")).mapInArrow(_edges, EDGES)
 
 
 def graph_summary(edges: DataFrame) -> DataFrame:

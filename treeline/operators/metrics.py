@@ -70,8 +70,33 @@ def conformance(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("doc_id").agg(count_if(bad).alias("n_bad")).select("doc_id", (C("n_bad") == 0).alias("conforms"), "n_bad")
 
 
-def cyclomatic(nodes: DataFrame) -> DataFrame:
-    """1 + decision points: conditionals, loops, boolean and/or, handlers of exceptions and arms of matches."""
+def visible(nodes: DataFrame) -> DataFrame:
+    """The nodes that a walker sees which goes into definitions, lambdas and containers only where their body is one node.
+
+    Only tops that hide something take part in the interval join, as its small side.
+    """
+    bodies = nodes.filter(C("role") == "body").groupBy(C("doc_id").alias("bd"), C("parent_pre").alias("bp")).agg(F.count(F.lit(1)).alias("n"))
+    tops = nodes.filter(is_a("function_def", "lambda", "container")).select("doc_id", "pre", "size")
+    hiding = tops.join(bodies, (C("doc_id") == C("bd")) & (C("pre") == C("bp")), "left").filter(F.coalesce("n", F.lit(0)) != 1)
+    hiding = hiding.select(C("doc_id").alias("hd"), C("pre").alias("hp"), C("size").alias("hs"))
+    return nodes.join(hiding, (C("doc_id") == C("hd")) & (C("pre") > C("hp")) & (C("pre") < C("hp") + C("hs")), "left_anti")
+
+
+def unwrapped(nodes: DataFrame) -> DataFrame:
+    """The nodes without a root that only wraps the code, a container or a definition, and without the root's parameters."""
+    wraps = is_a("container", "function_def")
+    roots = nodes.filter((C("parent_pre") == -1) & wraps).select(C("doc_id").alias("rd"), C("pre").alias("rp"))
+    of_root = (C("doc_id") == C("rd")) & ((C("pre") == C("rp")) | ((C("parent_pre") == C("rp")) & is_a("param")))
+    return nodes.join(roots, of_root, "left_anti")
+
+
+def cyclomatic(nodes: DataFrame, compat: str | None = None) -> DataFrame:
+    """1 + decision points: conditionals, loops, boolean and/or, handlers of exceptions and arms of matches.
+
+    With compat="reference" only nodes that are visible() count; a document of which none is has 1.
+    """
+    if compat == "reference":
+        nodes = visible(nodes)
     arm = C("role").isin("handler", "arm")
     return nodes.groupBy("doc_id").agg((1 + F.sum(F.when(is_a("conditional", "loop") | logical(), 1).when(arm, 1).otherwise(0))).cast("long").alias("cyclomatic"))
 
@@ -111,8 +136,10 @@ def halstead_tokens() -> tuple[Column, Column, Column]:
     return own, operand, F.when(is_a("function_def"), C("visibility"))
 
 
-def halstead(nodes: DataFrame) -> DataFrame:
-    """One grouping by document: counts add up, and a document's distinct tokens are sets that its size bounds."""
+def halstead(nodes: DataFrame, compat: str | None = None) -> DataFrame:
+    """One grouping by document: counts add up, and a document's distinct tokens are sets that its size bounds. compat as in cyclomatic()."""
+    if compat == "reference":
+        nodes = visible(nodes)
     first, operand, second = halstead_tokens()
     g = nodes.select("doc_id", first.alias("a"), operand.alias("b"), second.alias("c")).groupBy("doc_id").agg(
         F.size(F.array_union(F.collect_set("a"), F.collect_set("c"))).cast("long").alias("n1"), F.size(F.collect_set("b")).cast("long").alias("n2"), (F.count("a") + F.count("c")).alias("total1"), F.count("b").alias("total2")
@@ -127,8 +154,10 @@ def statement() -> Column:
     return is_a("assignment", "inline_match", "augmented_assignment", "conditional", "loop", "early_return", "exception_handling", "pattern_match", "function_call", "collection_op", "async_operation")
 
 
-def lines_of_code(nodes: DataFrame) -> DataFrame:
-    """Logical lines (statements that stand in a block or a body), physical lines (distinct line numbers, else the logical ones) and blank lines."""
+def lines_of_code(nodes: DataFrame, compat: str | None = None) -> DataFrame:
+    """Logical lines (statements that stand in a block or a body), physical lines (distinct line numbers, else the logical ones) and blank lines. compat as in cyclomatic()."""
+    if compat == "reference":
+        nodes = visible(nodes)
     g = nodes.groupBy("doc_id").agg(count_if(statement()).alias("logical"), F.count_distinct(F.when(C("line") > 0, C("line"))).alias("lines"))
     physical = F.when(C("lines") > 0, C("lines")).otherwise(C("logical"))
     return g.select("doc_id", "logical", physical.alias("physical"), F.greatest(F.lit(0).cast("long"), physical - C("logical")).alias("blank"))
@@ -167,8 +196,9 @@ def complexity(nodes: DataFrame) -> DataFrame:
 
 
 def merge(results: DataFrame, *keys: str) -> DataFrame:
-    """Complexity rows of several documents as one: greatest complexity, summed lines, all warnings."""
-    return results.groupBy(*keys).agg(F.max("cyclomatic").alias("cyclomatic"), F.max("cognitive").alias("cognitive"), F.max("max_nesting").alias("max_nesting"), F.sum("logical").alias("logical"), F.count(F.lit(1)).alias("documents"))
+    """Complexity rows of several documents as one: greatest complexity, summed lines, each warning once."""
+    said = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.split("warnings", ","), lambda x: x != "")))))
+    return results.groupBy(*keys).agg(F.max("cyclomatic").alias("cyclomatic"), F.max("cognitive").alias("cognitive"), F.max("max_nesting").alias("max_nesting"), F.sum("logical").alias("logical"), F.array_join(said, ",").alias("warnings"), F.count(F.lit(1)).alias("documents"))
 
 
 def type_frequencies(nodes: DataFrame) -> DataFrame:

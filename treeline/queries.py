@@ -269,6 +269,11 @@ def translated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 KNOWN["translate_ruby"] = (translated, "SELECT CAST(s_suppkey AS STRING) AS doc_id, concat('(x + ', CAST(s_suppkey AS STRING), ')', chr(10)) AS source FROM supplier")
 over("equivalence", "nations", lambda n: primitives.equivalent(n, n.withColumn("line", F.col("line") + 1)), "SELECT DISTINCT doc_id, true AS equivalent FROM nodes")
+_KEY = "CAST(substr(doc_id, 2) AS BIGINT)"
+over(
+    "equivalence_changed", "nations", lambda n: primitives.equivalent(n, n.withColumn("name", F.when(F.expr(_KEY) % 2 == 0, F.upper("name")).otherwise(F.col("name")))),
+    f"SELECT DISTINCT doc_id, {_KEY} % 2 <> 0 AS equivalent FROM nodes",
+)
 KNOWN["supplemental_matrix"] = (
     lambda spark, sf_dir: supplementals.default().matrix(spark),
     "SELECT * FROM (VALUES ('actor_call', 'pykka'), ('actor_cast', 'pykka'), ('spawn_actor', 'pykka'), ('async_await', 'asyncio'), ('async_context', 'asyncio'), ('gather', 'asyncio')) AS t(construct, python)",

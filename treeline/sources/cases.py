@@ -152,6 +152,13 @@ def programs(cases: dict[str, dict[str, str | dict[str, Any]]]) -> list[tuple[st
     return [(f"{s}/{c}", "python" if isinstance(x, str) else "json", x if isinstance(x, str) else json.dumps(x)) for s, found in cases.items() for c, x in found.items()]
 
 
+def sources_over_nations(spark: SparkSession, sf_dir: str, sources: dict[str, str]) -> DataFrame:
+    """(doc_id, source) of every source text for each nation; documents are named key/case."""
+    known = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in sources.items()])
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.explode(known).alias("p"))
+    return rows.select(F.concat_ws("/", F.col("n_nationkey").cast("string"), "p.k").alias("doc_id"), F.col("p.v").alias("source"))
+
+
 def over_nations(spark: SparkSession, sf_dir: str, cases: dict[str, dict[str, str | dict[str, Any]]]) -> DataFrame:
     """The nodes of every program for each nation: the documents are named key/set/case."""
     known = [F.struct(*[F.lit(x).alias(k) for k, x in zip(("case", "language", "source"), p, strict=True)]) for p in programs(cases)]
