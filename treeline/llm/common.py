@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -92,6 +93,12 @@ def with_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def released(spark: SparkSession) -> None:
+    """Lets go of plans that are done: what Python and the driver's JVM no longer refer to is collected, and Spark removes its shuffle files."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from treeline.llm.common import durable, with_small_batches
+from treeline.llm.common import durable, scratch, with_small_batches, written
 
 MIN_SENTENCES = 2
 MIN_WORDS = 15
@@ -196,7 +196,7 @@ def lost_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     here = found.filter("again").select("row", "key", place)
     lost = joined.filter("later").select("row", "key", "place").union(tied.select("row", "key", "place")).union(here)
     where = F.struct(F.shiftright("place", 32).cast("int").alias("at"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n"))
-    return durable(lost.groupBy("row", "key").agg(F.collect_set(where).alias("lost")))
+    return lost.groupBy("row", "key").agg(F.collect_set(where).alias("lost"))
 
 
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
@@ -206,7 +206,9 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = with_small_batches(docs).select(*[F.col(f"`{c}`") for c in kept])
     key = F.xxhash64(F.col(text_col))
     rows = rows.withColumn("__key", key).withColumn("__row", row_order(docs, id_col, F.col("__key")))
-    lost = lost_spans(docs, id_col, text_col).select(F.col("row").alias("__lost_row"), F.col("key").alias("__lost_key"), F.col("lost").alias("__lost"))
+    with scratch(docs.sparkSession):  # spans are not needed once it is known what goes
+        lost, _ = written(lost_spans(docs, id_col, text_col))
+    lost = lost.select(F.col("row").alias("__lost_row"), F.col("key").alias("__lost_key"), F.col("lost").alias("__lost"))
     whole = rows.join(lost, (F.col("__row") == F.col("__lost_row")) & (F.col("__key") == F.col("__lost_key")), "left").select(*[F.col(f"`{c}`") for c in kept], "__lost")
     schema = whole.drop("__lost").schema.add("n_sentences", "integer").add("n_removed", "integer")
     return whole.mapInArrow(_cleaner(kept.index(text_col), min_run), schema)
