@@ -42,7 +42,7 @@ from treeline.llm.common import with_small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
-CACHE = 120_000
+CACHE = 200_000
 RUNS = re.compile(" +|[^ ]+")
 #: Pairs of neighbours that a worker remembers.
 PAIRS = 300_000
@@ -100,11 +100,11 @@ class Normaliser:
             (self.BLANKS, 1): (self.BLANKS, ""),
         }
         # Without squeezing, all states that are reached write the same for a class: the machine is a map of characters.
-        self.map = None if squeeze else {ord(" "): META}
+        self.single = not squeeze
 
     def run(self, text: str) -> str:
-        if self.map is not None:
-            return self.prefix + text.translate(self.map) if text else ""
+        if self.single:
+            return self.prefix + text.replace(" ", META) if text else ""
         state, out = self.START, []
         for part in RUNS.findall(text):
             state, written = self.arcs[state, int(part[0] == " ")]
