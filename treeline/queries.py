@@ -169,9 +169,9 @@ over("clone_groups", "orders", lambda n: clones.clone_groups(n.drop("line").with
        string_agg(concat_ws('|', depth, coalesce(role, '-'), type, coalesce(subtype, '-'), coalesce(value, '-'), coalesce(category, '-'), coalesce(operator, '-'), coalesce(name, '-'), coalesce(kind, '-')), chr(10) ORDER BY pre) AS exact FROM nodes GROUP BY doc_id),
      g AS (SELECT shape, count(*) AS group_size, min(doc_id) AS group_id, count(DISTINCT exact) AS kinds FROM s GROUP BY shape HAVING count(*) > 1)
      SELECT doc_id, group_id, CASE WHEN kinds = 1 THEN 'type_i' ELSE 'type_ii' END AS clone_type, group_size FROM s JOIN g USING (shape)""")
-over("control_flow_graph", "orders", lambda n: graph.graph_summary(graph.control_flow(n)),
+over("control_flow_graph", "orders", lambda n: graph.graph_summary(graph.graphs(n)),
      "SELECT doc_id, 1 + count(*) FILTER (type = 'conditional') * 5 AS edges, CAST(2 + count(*) FILTER (type IN ('conditional', 'assignment', 'function_call', 'early_return')) AS BIGINT) AS nodes, false AS cyclic, true AS all_reached FROM nodes GROUP BY doc_id")
-over("control_flow_dot", "orders", lambda n: graph.as_dot(graph.control_flow(n)))
+over("control_flow_dot", "orders", lambda n: graph.as_dot(graph.graphs(n)))
 over(
     "token_similarity", "events", lambda n: clones.token_similarity(clones.pairs_of(n, F.substring("doc_id", 2, 20).cast("long") % 100 == 0), n),
     """, t AS (SELECT doc_id, list(DISTINCT type) AS x FROM nodes GROUP BY doc_id)
@@ -233,7 +233,8 @@ def parts_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("ys = [Repo.get(y) for y in zs]"),
         F.when(size % 7 == 0, "if True:\n    f()\nelse:\n    g()").otherwise("print(ys)"),
     ]
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("doc_id"), F.concat_ws("\n", *lines).alias("source"))
+    # Parsing is bound by the CPU, so that a table of few files is spread first.
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("doc_id"), F.concat_ws("\n", *lines).alias("source")).repartition(spark.sparkContext.defaultParallelism)
 
 
 def over_parts(name: str, plan: Callable[[DataFrame], DataFrame], sql: str | None) -> None:
