@@ -36,7 +36,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share 80 % of their five-word shingles stays, the one with the smallest id."""
+    """One document of each group of texts that share 80 % of their five-word shingles stays, the one with the smallest id: candidates by SimHash and BK-trees, and by least hashes where 64 bits can't tell; an exact check follows."""
     released(spark)
     return keep_one(docs)
 

@@ -67,3 +67,15 @@ def test_stage_on_documents_and_odd_rows(spark, docs, odd, empty):
     assert kept.columns == odd.columns and [r.doc_id for r in kept.filter("text LIKE 'Same%'").collect()] == [5]
     assert kept.filter(F.coalesce(F.trim(F.translate("text", "\t\n", "  ")), F.lit("")) == "").count() == 1
     assert corpus_pipeline.near_dedup(spark, empty, SF).count() == 0
+
+
+def test_simhash_links_are_candidates(spark, monkeypatch):
+    """Without a band the stage still finds the copies that BK-trees link, and none that the exact check refuses."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(900)]
+    near = [words[:600], [*words[:300], "other", *words[301:600]], words[300:]]
+    fps = [near_copies.simhash(near_copies.shingles(" ".join(t))) for t in near]
+    assert (fps[0] ^ fps[1]).bit_count() <= near_copies.simhash_bk.RADIUS
+    monkeypatch.setattr(near_copies, "_sets", lambda batches, f=near_copies._sets: (b.set_column(5, "bands", near_copies.pa.array([[]] * b.num_rows, near_copies.pa.list_(near_copies.pa.int64()))) for b in f(batches)))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(near)], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SF).collect()} == {0, 2}

@@ -1,12 +1,14 @@
-"""Near copies by exact similarity: the near-dedup stage of the pipeline.
+"""SimHash near-dedup with an exact check: the near-dedup stage of the pipeline.
 
 Two texts are linked if the sets of their SHINGLE-word shingles (A-Z lower-cased; a shorter text is one shingle; hashed by XXH64 with
-seed 42) have a Jaccard similarity of PERCENT or more, and a component is what links connect. SimHash fingerprints of 64 bits can't
-give these links: at a similarity of 0.8 two of them differ in about ten bits, and blocks of so few bits find no shards.
+seed 42) have a Jaccard similarity of PERCENT or more, and a component is what links connect.
 
-Candidates: texts with equal sets are made one first. BANDS bands of ROWS least hashes each deal the sets into buckets; two sets of
-similarity s share one with a probability of 1 - (1 - s^ROWS)^BANDS, which is over 0.9999 at 0.8. A bucket joins its members with the least of
-them, so that it costs its size, and what is connected so is a group.
+Candidates: texts with equal sets are made one first. Each set has a SimHash fingerprint (a bit is 1 if it is set in over half of the
+hashes), and the operator of simhash_bk links fingerprints within its RADIUS by BK-trees; sets with one fingerprint are joined with the least of
+them. At a similarity of 0.8 two fingerprints differ in about ten bits, and blocks of so few bits find no shards, so that these
+candidates are not all: BANDS bands of ROWS least hashes each deal the sets into buckets; two sets of similarity s share one with a
+probability of 1 - (1 - s^ROWS)^BANDS, which is over 0.9999 at 0.8. A bucket joins its members with the least of them, so that it costs its
+size. What is connected by either is a group; a pair that only one of them finds is compared like any other.
 
 Links: the texts of a group meet in one task, which compares their sets exactly. Two sets that are similar enough share one of their
 least hashes (the first n - ceil(PERCENT n) + 1 of n), so only such pairs are compared, and a set that is found is taken out, so that
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.common import durable, scratch, with_small_batches, written
+from treeline.llm import simhash_bk
 from treeline.llm.simhash_bk import SEED, components, one_of_each, signed
 
 SHINGLE = 5
@@ -65,16 +68,25 @@ def bands(found: np.ndarray) -> list[int]:
     return [signed(xxhash.xxh3_64_intdigest(row.tobytes(), i)) for i, row in enumerate(least.reshape(BANDS, ROWS))]
 
 
+def simhash(found: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(found), HELD):
+        counts += np.unpackbits(found[at : at + HELD].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(found), bitorder="little").tobytes(), "little")
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        prints, sizes, buckets = [], [], []
+        prints, sizes, sims, buckets = [], [], [], []
         for t in b.column(1):
             found = shingles(t.as_py())
             prints.append(signed(xxhash.xxh3_64_intdigest(found.tobytes())))
             sizes.append(len(found))
+            sims.append(signed(simhash(found)))
             buckets.append(bands(found))
-        cols = [b.column(0), b.column(2), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "fp", "n", "bands"])
+        cols = [b.column(0), b.column(2), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sims, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "fp", "n", "sim", "bands"])
 
 
 def forest(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -129,12 +141,22 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from drained()
 
 
+def simhash_candidates(classes: DataFrame) -> DataFrame:
+    """(u, v), u > v: sets (fp, sim) of one SimHash fingerprint with the least of them, and these leasts along the links of simhash_bk."""
+    leasts = durable(classes.groupBy("sim").agg(F.min("fp").alias("least")))
+    same = classes.join(leasts.withColumnRenamed("sim", "s"), F.col("sim") == F.col("s")).filter("fp > least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    near = simhash_bk.links(leasts.select(F.col("sim").alias("fp")), leasts.count())
+    a, b = (leasts.select(F.col("sim").alias(f"s{i}"), F.col("least").alias(f"l{i}")) for i in (0, 1))
+    met = near.join(a, F.col("u") == F.col("s0")).join(b, F.col("v") == F.col("s1"))
+    return same.union(met.select(F.greatest("l0", "l1").alias("u"), F.least("l0", "l1").alias("v")))
+
+
 def links(texts: DataFrame, classes: DataFrame, most_sets: int = MOST_SETS, most_shingles: int = MOST_SHINGLES) -> DataFrame:
-    """Edges (u > v) that connect the sets (fp, key, n, bands) as all links between members of a group do; texts has (key, text)."""
+    """Edges (u > v) that connect the sets (fp, key, n, sim, bands) as all links between members of a group do; texts has (key, text). Groups are what SimHash and the bands connect."""
     dealt = durable(classes.select(F.explode("bands").alias("band"), "fp"))
     shared = dealt.groupBy("band").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least < most").select(F.col("band").alias("b"), "least")
     stars = dealt.join(shared, F.col("band") == F.col("b")).filter("fp > least").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
-    of = components(stars)
+    of = components(simhash_candidates(classes).union(stars).distinct())
     of = durable(of.union(of.select(F.col("root").alias("node"), "root")).distinct().join(classes.select("fp", "key", "n"), F.col("node") == F.col("fp")).select("fp", "key", "n", "root"))
     cuts = F.greatest(F.ceil(2 * F.count(F.lit(1)) / most_sets), F.ceil(2 * F.sum("n") / most_shingles)).cast("int")
     large = of.groupBy("root").agg(cuts.alias("cuts"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).filter((F.col("c") > most_sets) | (F.col("s") > most_shingles))
@@ -160,10 +182,10 @@ def _kept(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(__kept_id, __kept_key): the row of each component that stays."""
     ids = docs.schema[id_col].dataType.simpleString()
     read = with_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
-    prints = durable(read.mapInArrow(_sets, f"id {ids}, key long, fp long, n long, bands array<long>"))
+    prints = durable(read.mapInArrow(_sets, f"id {ids}, key long, fp long, n long, sim long, bands array<long>"))
     # A set's first row stands for all that have it.
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("x")
-    classes = durable(prints.groupBy("fp").agg(least, F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    classes = durable(prints.groupBy("fp").agg(least, F.min("key").alias("key"), F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("bands").alias("bands")))
     roots = components(links(read.select("key", "text"), classes))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("x", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("x").alias("x"))
